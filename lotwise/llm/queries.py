@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, simhash
 from .common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copies among all documents: 4-word shingles, fingerprints linked at 4 or fewer differing bits."""
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, bits=4)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, each document encoded once; a token counts where it begins."""
     return bpe.token_counts(table(spark, sf_dir, "documents"), rule="start").select(
@@ -31,6 +37,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op5_token_counts": op5_token_counts,
     "op7_bpe": op7_bpe,
 }
