@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, quality, simhash
 from .common import table
 
 
@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality features of every document and the weakly supervised verdict."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return judged.select("doc_id", *quality.FEATURES, "base_failed", "kept", "p_good")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, each document encoded once; a token counts where it begins."""
     return bpe.token_counts(table(spark, sf_dir, "documents"), rule="start").select(
@@ -38,6 +44,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op5_token_counts": op5_token_counts,
     "op7_bpe": op7_bpe,
 }
