@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, topk, urls
+from . import bpe, lm, mixing, quality, simhash, topk, urls
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.FEATURES, "base_failed", "kept", "p_good")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a model of the training folds, and the exact unigram score."""
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, each document encoded once; a token counts where it begins."""
     return bpe.token_counts(table(spark, sf_dir, "documents"), rule="start").select(
@@ -61,6 +66,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op4_lm": op4_lm,
     "op5_token_counts": op5_token_counts,
     "op7_bpe": op7_bpe,
     "op8_urls": op8_urls,
