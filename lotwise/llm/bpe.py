@@ -30,6 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import OUT_BYTES
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -147,6 +148,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text"
 
     Columns of those names are replaced.  Null text: no ids, decoded "".
     """
+    ship(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in {ids, decoded}]
     names = [f.name for f in kept]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{ids}` array<int>"] + [f"`{decoded}` string"] * bool(decoded))
@@ -169,6 +171,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text"
 
 def bpe_decode(df: DataFrame, vocabulary: str = VOCABULARY, ids: str = "token_ids", decoded: str = "text") -> DataFrame:
     """All rows and columns, with ``decoded`` (replaced if there) from the array ``ids``; null ids: null."""
+    ship(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name != decoded]
     names = [f.name for f in kept]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{decoded}` string"])
@@ -231,6 +234,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     used = list(fields or [text])
     schema = f"`{key}` {kind}, section int, field string, start_char long, end_char long, n_tokens double, doc_tokens long"
