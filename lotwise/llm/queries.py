@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, mixing, quality, simhash, topk, urls
+from . import bpe, lm, mixing, quality, simhash, suffixes, topk, urls
 from .common import table
 
 
@@ -23,6 +23,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.FEATURES, "base_failed", "kept", "p_good")
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte covered by a 200-byte string that also starts elsewhere removed; digest of the rest."""
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability under a model of the training folds, and the exact unigram score."""
     return lm.score_texts(table(spark, sf_dir, "documents"))
@@ -66,6 +72,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_suffixes": op3_suffixes,
     "op4_lm": op4_lm,
     "op5_token_counts": op5_token_counts,
     "op7_bpe": op7_bpe,
