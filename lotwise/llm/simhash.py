@@ -3,8 +3,8 @@
 Fingerprints are computed from whole texts in Arrow batches.  Distinct
 fingerprints that differ in at most ``bits`` bits are then linked:
 
-* All fingerprints' bit co-occurrences give eight blocks of eight correlated
-  bits; the blocks' value histograms (eight times 256 counts, also over all
+* All fingerprints' bit co-occurrences give sixteen blocks of four correlated
+  bits; the blocks' value histograms (sixteen times 16 counts, also over all
   fingerprints) give the distribution of distances within any union of blocks.
 * For each division of the blocks into m partitions, dynamic programming
   allocates thresholds t_1..t_m of sum bits - m + 1 (-1 leaves a partition out)
@@ -34,10 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import by_batch, cut, text_bytes
 from .components import components, merge_labels
 
-BLOCKS = 8
+#: Correlated bits are grouped into so many blocks, each with so many values.
+BLOCKS = 16
+VALUES = 1 << 64 // BLOCKS
 #: A partition's value held by more fingerprints than this is split into blocks of about this many.
 HOT = 2048
 #: Rows of one verified group, about.
@@ -78,6 +81,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
         found = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["k", "fp"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(by_batch(run), f"k {kind}, fp long").withColumnRenamed("k", key)
 
@@ -87,7 +91,7 @@ def bits_of(fps: np.ndarray) -> np.ndarray:
 
 
 def correlated_blocks(together: np.ndarray, n: int) -> list[list[int]]:
-    """The 64 bits in eight blocks of eight, each grown greedily around the most correlated pair left.  together[i, j]: fingerprints with both bits."""
+    """The 64 bits in BLOCKS blocks, each grown greedily around the most correlated pair left.  together[i, j]: fingerprints with both bits."""
     p = np.diag(together) / max(n, 1)
     cov = together / max(n, 1) - np.outer(p, p)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-9))
@@ -153,7 +157,7 @@ def allocate(parts: list[list[int]], shares: list[np.ndarray], n: int, bits: int
 def make_plan(blocks: list[list[int]], histograms: np.ndarray, n: int, bits: int) -> Plan:
     per_block = [distances(h) for h in histograms]
     options = []
-    for m in range(2, BLOCKS + 1):
+    for m in range(2, 9):
         cuts = [round(i * BLOCKS / m) for i in range(m + 1)]
         parts = [sorted(b for block in blocks[x:y] for b in block) for x, y in zip(cuts, cuts[1:])]
         shares = []
@@ -232,6 +236,7 @@ def verify(keys: np.ndarray, fps: np.ndarray, probe: np.ndarray, left: np.ndarra
 
 def links(distinct: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) that keep their components: enough pairs at ``bits`` or fewer differing bits, and none else."""
+    ship(distinct.sparkSession)
     n = distinct.count()
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,17 +253,17 @@ def links(distinct: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
     blocks = correlated_blocks(together.reshape(64, 64), n)
 
     def count_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BLOCKS * 256, np.int64)
+        total = np.zeros(BLOCKS * VALUES, np.int64)
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k, block in enumerate(blocks):
-                total[k * 256 : k * 256 + 256] += np.bincount(project(fps, block).astype(np.int64), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS * 256), pa.int32()), pa.array(total)], names=["i", "n"])
+                total[k * VALUES : (k + 1) * VALUES] += np.bincount(project(fps, block).astype(np.int64), minlength=VALUES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS * VALUES), pa.int32()), pa.array(total)], names=["i", "n"])
 
-    histograms = np.zeros(BLOCKS * 256, np.int64)
-    for row in distinct.select("fp").mapInArrow(count_values, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # 2,048 rows
+    histograms = np.zeros(BLOCKS * VALUES, np.int64)
+    for row in distinct.select("fp").mapInArrow(count_values, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # 256 rows
         histograms[row["i"]] = row["n"]
-    plan = make_plan(blocks, histograms.reshape(BLOCKS, 256), n, bits)
+    plan = make_plan(blocks, histograms.reshape(BLOCKS, VALUES), n, bits)
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
