@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, mixing, quality, simhash, suffixes, topk, urls
+from . import bpe, lines, lm, mixing, quality, simhash, suffixes, topk, urls
 from .common import table
 
 
@@ -41,6 +41,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents deduplicated within one or two edits; digest of the texts left."""
+    left = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffixes": op3_suffixes,
     "op4_lm": op4_lm,
     "op5_token_counts": op5_token_counts,
+    "op6_lines": op6_lines,
     "op7_bpe": op7_bpe,
     "op8_urls": op8_urls,
     "op9_mixing": op9_mixing,
