@@ -156,7 +156,7 @@ def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 20, sha
 
 
 def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """``carry`` columns (all but the text if not given), the base features, base_failed, the votes, p_good and kept, of every row.
+    """``carry`` columns (all but the text if not given; keep them few, they are written once), the base features, base_failed, the votes, p_good and kept, of every row.
 
     base_failed: fewer than 50 words, or over half of them in repeated three-word windows.  kept: not base_failed and p_good at
     or over ``threshold``.  Empty and null texts fail; an empty table gives an empty one.
