@@ -25,6 +25,7 @@ shuffle, where by construction no key is hot.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ TOP = 200_000
 #: Weight of the unigram estimate, in counts.
 PRIOR = 1000.0
 #: Bytes of text a segment of the hash range stands for, and tokens a portion is counted over.
-SEGMENT_BYTES, PORTION = 16 << 20, 4_000_000
+SEGMENT_BYTES, PORTION = 16 << 20, 1_000_000
 #: Levels a doubling.
 STEPS = 2
 END = xxhash.xxh64_intdigest(b"", 42)  # no word is empty
@@ -57,10 +58,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def tokens_of(text: bytes) -> list[int]:
-    """Hashes of the words of lower-cased (A-Z) text, then the end."""
+def add_tokens(tokens: array, text: bytes) -> None:
+    """Append hashes of the words of lower-cased (A-Z) text, then the end."""
     hash64 = xxhash.xxh64_intdigest
-    return [*[hash64(w, 42) for w in text.lower().split()], END]
+    tokens.extend([hash64(w, 42) for w in text.lower().split()])
+    tokens.append(END)
 
 
 def bigrams_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -146,21 +148,20 @@ def count_ngrams(training: DataFrame, text: str, segments: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int32()), *[pa.array(columns[n], pa.binary()) for n in names]], names=["segment", *names])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: list[int] = []
-        first: list[int] = []
+        tokens, first = array("Q"), array("q")
 
         def flush() -> pa.RecordBatch:
-            t = np.array(tokens, np.uint64)
-            out = rows(_tally(t), _tally(bigrams_of(t, np.array(first, np.int64))))
-            tokens.clear()
-            first.clear()
+            nonlocal tokens, first
+            t = np.frombuffer(tokens, np.uint64)
+            out = rows(_tally(t), _tally(bigrams_of(t, np.frombuffer(first, np.int64))))
+            tokens, first = array("Q"), array("q")
             return out
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 for b in text_bytes(batch.column(0).slice(i, 256)):
                     first.append(len(tokens))
-                    tokens += tokens_of(b)
+                    add_tokens(tokens, b)
                     if len(tokens) >= PORTION:
                         yield flush()
         if tokens:
@@ -260,14 +261,13 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
             texts = text_bytes(batch.column(1))
             i = 0
             while i < len(texts):
-                tokens: list[int] = []
-                first: list[int] = []
+                tokens, first = array("Q"), array("q")
                 j = i
                 while j < len(texts) and (j == i or len(tokens) + len(texts[j]) // 4 < PORTION // 4):
                     first.append(len(tokens))
-                    tokens += tokens_of(texts[j])
+                    add_tokens(tokens, texts[j])
                     j += 1
-                t, begin = np.array(tokens, np.uint64), np.array(first, np.int64)
+                t, begin = np.frombuffer(tokens, np.uint64), np.frombuffer(first, np.int64)
                 lengths = np.diff(np.append(begin, len(t)))
                 types, inv = np.unique(t, return_inverse=True)
                 at = np.minimum(np.searchsorted(common, types), max(len(common) - 1, 0))
