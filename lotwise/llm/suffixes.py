@@ -43,9 +43,9 @@ PERIOD = 32
 #: Fixed value: a difference cover modulo 32 (each residue is a difference of two members).
 COVER = (0, 1, 2, 3, 7, 11, 19)
 #: Distinct contexts of a bucket that is sorted in one block.
-HOT = 512
+HOT = 4096
 #: Contexts of a group of buckets, about.
-GROUP = 4096
+GROUP = 2048
 #: Window starts looked at together.
 STRIDE = 1 << 20
 B1 = 0x9E3779B97F4A7C15
@@ -235,7 +235,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     per_text = cut(texts.mapInArrow(find, "row long, mh array<bigint>, ch array<bigint>, first array<bigint>, count array<bigint>"))
     each = per_text.select("row", F.explode(F.arrays_zip("mh", "ch", "first", "count")).alias("a")).select("row", "a.mh", "a.ch", "a.first", "a.count")
-    grams = each.groupBy("mh").agg(F.count("*").alias("n"), F.min("ch").alias("c1"), F.max("ch").alias("c2")).where("n > 1")
+    # cut, so that the join's sides are plain exchanges, whose hot partitions Spark can split
+    grams = cut(each.groupBy("mh").agg(F.count("*").alias("n"), F.min("ch").alias("c1"), F.max("ch").alias("c2")).where("n > 1"))
     again = cut(each.join(grams.select(F.col("mh").alias("mh2"), (F.col("c1") != F.col("c2")).alias("mixed")), F.col("mh") == F.col("mh2")).drop("mh2"))
     mixed = again.where("mixed")
     # one copy of each distinct context of the buckets that have several
