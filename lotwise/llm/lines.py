@@ -11,7 +11,7 @@ either side) are all it must probe.  Keys hold the indexed length, the segment's
 number and its text.
 
 1.  Keys meet in groups together with a sketch of each line (counts of its
-    characters by twelfths, four bits each); pairs whose sketches differ by more
+    characters in sixteen classes, three bits each); pairs whose sketches differ by more
     than the edits can explain are dropped.
 2.  Texts of the lines left are fetched and meet once more under their keys;
     edit distances are verified with bit-parallel columns of the band, and a
@@ -72,34 +72,51 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode(), 42)
 
 
-def line_keys(line: str, plans: dict[int, list[tuple[int, int, int, int, bool]]]) -> tuple[list[int], list[bool]]:
-    """Keys of a line, and which are probes (else index entries).  A probe of the own length that is an index entry too is left out."""
-    n = len(line)
-    if n not in plans:
-        plan = []
-        t = threshold(n)
-        own = [(i, a, b) for i, (a, b) in enumerate(segments(n, t))]
-        plan += [(n, *x, False) for x in own]
-        for length in range(n, max(MIN_CHARS, n - MOST) - 1, -1):
-            t = threshold(length)
-            if n - length <= t:
-                plan += [(length, *x, True) for x in probes(n, length, t) if length < n or x not in own]
-        plans[n] = plan
-    hash64 = xxhash.xxh64_intdigest
-    return [hash64(line[a:b].encode(), length << 3 | i) for length, i, a, b, _ in plans[n]], [p for *_, p in plans[n]]
+def plan_of(n: int) -> list[tuple[int, int, int, int, bool]]:
+    """(indexed length, segment, start, end, probe) of a line of n characters, index entries first.  A probe that would be an index entry again is left out."""
+    t = threshold(n)
+    own = [(i, a, b) for i, (a, b) in enumerate(segments(n, t))]
+    plan = [(n, *x, False) for x in own]
+    for length in range(n, max(MIN_CHARS, n - MOST) - 1, -1):
+        t = threshold(length)
+        if n - length <= t:
+            plan += [(length, *x, True) for x in probes(n, length, t) if length < n or x not in own]
+    return plan
 
 
-def sketch(line: str) -> int:
-    """Counts of characters by code modulo 12, four bits each."""
-    counts = np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) % 12, minlength=12) & 15
-    return int((counts.astype(np.uint64) << (np.uint64(4) * np.arange(12, dtype=np.uint64))).sum())
+class Keys:
+    """Keys of lines; plans are kept by length."""
+
+    def __init__(self) -> None:
+        self.plans: dict[int, tuple[list[tuple[int, int, int]], list[bool], int]] = {}
+
+    def of(self, line: str, index_only: bool = False) -> tuple[list[int], list[bool]]:
+        """Hashes of a line's substrings with the indexed length and segment as seed, and which are probes."""
+        n = len(line)
+        if n not in self.plans:
+            plan = plan_of(n)
+            self.plans[n] = [(4 * a, 4 * b, length << 3 | i) for length, i, a, b, _ in plan], [p for *_, p in plan], threshold(n) + 1
+        cuts, probe, own = self.plans[n]
+        data = line.encode("utf-32-le")  # characters of four bytes: sliced without another encoding
+        hash64 = xxhash.xxh64_intdigest
+        return [hash64(data[a:b], seed) for a, b, seed in (cuts[:own] if index_only else cuts)], probe
+
+
+def sketches(lines: list[str]) -> np.ndarray:
+    """Counts of each line's characters by the last four bits of their codes, three bits each."""
+    if not lines:
+        return np.empty(0, np.uint64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    of = np.repeat(np.arange(len(lines), dtype=np.int64) << 4, [len(x) for x in lines])
+    counts = np.bincount(of | (codes & np.uint32(15)), minlength=len(lines) << 4).reshape(-1, 16) & 7
+    return (counts.astype(np.uint64) << (np.uint64(3) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
 def sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros(len(a), np.int64)
-    for i in range(12):
-        d = np.abs((a >> np.uint64(4 * i) & np.uint64(15)).astype(np.int64) - (b >> np.uint64(4 * i) & np.uint64(15)).astype(np.int64))
-        out += np.minimum(d, 16 - d)
+    for i in range(16):
+        d = (a >> np.uint64(3 * i) & np.uint64(7)).astype(np.int64) - (b >> np.uint64(3 * i) & np.uint64(7)).astype(np.int64)
+        out += np.minimum(d & 7, -d & 7)
     return out
 
 
@@ -165,15 +182,18 @@ def _runs_of_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         r = stop
 
 
-def link_lines(texts: DataFrame) -> DataFrame:
-    """Links (u, v: hashes of lines) between near-duplicate distinct lines of column t, enough to keep their classes whole."""
+def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """Links (u, v: hashes of lines) between near-duplicate distinct lines of column t, enough to keep their classes whole.
+
+    entries: the index entries (key) of all lines; which keys are split is read from them.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, list[tuple[int, int, int, int, bool]]] = {}
+        of = Keys()
         seen: set[int] = set()
         for batch in batches:
             for _, part in _pieces(batch, "t"):
-                keys, hashes, meta = [], [], []
+                fresh, names = [], []
                 for text in part:
                     for line in text.split("\n"):
                         if len(line) < MIN_CHARS:
@@ -182,19 +202,22 @@ def link_lines(texts: DataFrame) -> DataFrame:
                         if h in seen:
                             continue
                         seen.add(h)
-                        own, probe = line_keys(line, plans)
-                        s = sketch(line)
-                        keys += own
-                        hashes += [h] * len(own)
-                        meta += [s << 1 | p for p in probe]
+                        fresh.append(line)
+                        names.append(h)
                 if len(seen) > 1 << 20:
                     seen.clear()
-                arrays = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, hashes, meta)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "h", "meta"])
+                keys, probe, count = [], [], []
+                for line in fresh:
+                    own, flags = of.of(line)
+                    keys += own
+                    probe += flags
+                    count.append(len(own))
+                meta = np.repeat(sketches(fresh) << np.uint64(1), count) | np.array(probe, np.uint64)
+                arrays = [np.array(keys, np.uint64), np.repeat(np.array(names, np.uint64), count), meta]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in arrays], names=["key", "h", "meta"])
 
     signed = texts.select("t").mapInArrow(sign, "key long, h long, meta long")
-    index = signed.where(F.col("meta").bitwiseAND(1) == 0)
-    crowded = cut(index.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("key").alias("hot_key"), F.ceil(F.col("rows") / HOT).cast("int").alias("blocks")))
+    crowded = cut(entries.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("key").alias("hot_key"), F.ceil(F.col("rows") / HOT).cast("int").alias("blocks")))
     groups = max(16, texts.sparkSession.sparkContext.defaultParallelism * 4)
     plain, hot = signed, None
     if crowded.limit(1).count():
@@ -264,7 +287,7 @@ def link_lines(texts: DataFrame) -> DataFrame:
         order = np.argsort(key, kind="stable")
         key, h = key[order], t.column("h").to_numpy()[order]
         line = t.column("line").take(pa.array(order)).to_pylist()
-        sk = np.array([sketch(x) for x in line], np.uint64)
+        sk = sketches(line)
         nodes, at = np.unique(h, return_inverse=True)
         label = np.arange(len(nodes))
         for a, b in _runs_of_pairs(key):
@@ -291,29 +314,37 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     texts = base.select(F.col(f"_row.`{key}`").alias("k"), "row", "t")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, seen = Keys(), set()
         for batch in batches:
             for i, part in _pieces(batch, "t"):
-                of, no, hashes = [], [], []
+                of, no, hashes, entries, count = [], [], [], [], []
                 for x, text in enumerate(part):
                     for z, line in enumerate(text.split("\n")):
                         if len(line) >= MIN_CHARS:
+                            h = line_hash(line)
                             of.append(i + x)
                             no.append(z)
-                            hashes.append(line_hash(line))
+                            hashes.append(h)
+                            own = [] if h in seen else keys.of(line, index_only=True)[0]
+                            entries += own
+                            count.append(len(own))
+                            seen.add(h)
+                if len(seen) > 1 << 20:
+                    seen.clear()
                 at = pa.array(of, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("k").take(at), batch.column("row").take(at), pa.array(no, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["k", "row", "no", "h"]
-                )
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(np.array(entries, np.uint64).view(np.int64)))
+                columns = [batch.column("k").take(at), batch.column("row").take(at), pa.array(no, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "row", "no", "h", "entries"])
 
-    lines = cut(texts.mapInArrow(find, f"k {kind}, row long, no int, h long"))
+    lines = cut(texts.mapInArrow(find, f"k {kind}, row long, no int, h long, entries array<bigint>"))
     place = F.struct(F.col("k").isNull().alias("z"), "k", "row", "no")
     distinct = cut(lines.groupBy("h").agg(F.min(place).alias("first")))
-    roots = components(link_lines(texts))
+    roots = components(link_lines(texts, lines.select(F.explode("entries").alias("key"))))
     rooted = distinct.join(roots, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("root", "h").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("best"))
     # of each line: the first place of its own text, and of its class
     known = rooted.join(classes.withColumnRenamed("root", "root2"), F.col("root") == F.col("root2")).select(F.col("h").alias("h2"), "first", "best")
-    gone = lines.join(known, F.col("h") == F.col("h2")).where(place != F.col("best")).select("row", "no", (place == F.col("first")).alias("near"))
+    gone = lines.drop("entries").join(known, F.col("h") == F.col("h2")).where(place != F.col("best")).select("row", "no", (place == F.col("first")).alias("near"))
     listed = gone.groupBy("row").agg(F.collect_list(F.struct("no", "near")).alias("gone")).withColumnRenamed("row", "row2")
     out = base.join(listed.hint("shuffle_hash"), F.col("row") == F.col("row2"), "left")
     # both arrays are columns of their own: inside a lambda they would be made anew for each element
