@@ -125,15 +125,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     placed = (
         placed.join(counts.select(F.col("sid").alias("s2"), F.col("size").alias("z2"), "cells"), (F.col("sid") == F.col("s2")) & (F.col("size") == F.col("z2")))
         .withColumn("cell", F.pmod(F.col("h"), F.col("cells")))
-        .select("_row", "h", "sid", "size", "cell")
+        # a cell has one value to be dealt out by: a partitioning by source and size would do for Catalyst too, and hold a whole class
+        .select("_row", "h", "sid", "size", "cell", F.concat_ws("-", "sid", "size", "cell").alias("place"))
     )
-    cells = placed.groupBy("sid", "size", "cell").agg(F.count("*").alias("docs"))
+    cells = placed.groupBy("place").agg(F.first("sid").alias("sid"), F.first("size").alias("size"), F.first("cell").alias("cell"), F.count("*").alias("docs")).drop("place")
     lam2 = lam.select(F.col("sid").alias("s3"), "lam", "mean")
     rated = cut(cells.join(lam2, F.col("sid") == F.col("s3")).withColumn("rate", rate(F.col("size") / F.col("mean"), F.col("lam"))).drop("s3", "lam", "mean"))
     dealt = _round(rated)
     fixed = _make_up(dealt, goal.select("sid", "target"))
     # within a cell the first documents by hash get the copies that do not go round
-    spot = F.row_number().over(W.partitionBy("sid", "size", "cell").orderBy("h", "_row"))
+    spot = F.row_number().over(W.partitionBy("place").orderBy("h"))
     of_cell = fixed.select(F.col("sid").alias("s4"), F.col("size").alias("z4"), F.col("cell").alias("c4"), "docs", "rate", "copies")
     copies = (F.floor(F.col("copies") / F.col("docs")) + F.when(F.col("spot") <= F.col("copies") % F.col("docs"), 1).otherwise(0)).cast("long")
     out = placed.withColumn("spot", spot).join(of_cell, (F.col("sid") == F.col("s4")) & (F.col("size") == F.col("z4")) & (F.col("cell") == F.col("c4")))
