@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import by_batch
 
 #: Labelled URLs that the trees are trained on, at most.
@@ -200,12 +201,16 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     Null URLs and those without "://" have an empty host and path and are judged by the trees alone; without any labelled URL
     the trees allow.  p_block is null where a rule decides.
     """
+    ship(pages.sparkSession)
     u = F.col("u")
     parts = pages.select(F.col(f"`{key}`").alias("k"), F.col(f"`{url}`").alias("u")).select("k", "u", host_of(u).alias("host"), path_of(u).alias("path"))
     host, path = F.col("host"), F.col("path")
     ruled = parts.select("*", first_fit(rules, host, path, "name").alias("rule"), first_fit(rules, host, path, "verdict").alias("ruled"))
     labelled = ruled.where("ruled is not null").select("u", "host", "path", (F.col("ruled") == "block").alias("bad"))
-    chosen = labelled.orderBy(F.xxhash64("u"), "u").limit(sample).collect()  # at most ``sample`` rows
+    # about twice the sample by hash, then exactly the sample: no partition sends more than its share
+    share = min(1.0, 2 * sample / max(1, labelled.count()))
+    near = labelled.where(F.shiftrightunsigned(F.xxhash64("u"), 32) < int(share * (1 << 32)))
+    chosen = near.orderBy(F.xxhash64("u"), "u").limit(sample).collect()  # at most ``sample`` rows
     model = fit([tuple(r) for r in chosen])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
