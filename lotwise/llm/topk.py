@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import cut
 
 SHARD, BLOCK, LEAF = 2048, 512, 64
@@ -112,6 +113,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     the smaller key.  Vectors that are null or hold null or non-finite components, and rows with a null key, take no part; rows
     alike in key and vector count once.  Fewer than k candidates: all of them; an empty table: no rows.
     """
+    ship(vectors.sparkSession)
     c = F.col(f"`{vector}`")
     fine = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = vectors.where(F.col(f"`{key}`").isNotNull() & c.isNotNull() & fine).select(
