@@ -42,7 +42,11 @@ def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _file(spark, path)
     if not fs.exists(p):
         raise FileNotFoundError(path)
-    return "\n".join(r[0] for r in spark.read.text(path).collect())  # a small sidecar
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
