@@ -39,7 +39,9 @@ from .components import components, merge_labels
 MIN_CHARS, LONG, MOST = 20, 40, 2
 #: Index entries of a key that is not split, and rows of a group, about.
 HOT, GROUP_ROWS = 1024, 65_536
-PAIRS = 1 << 20
+#: Keys of a group of the first sieve, about.
+SIFT_ROWS = 250_000
+PAIRS = 1 << 18
 #: The filter that picks the lines to fetch has so many words of 64 bits (8 MB), whatever the corpus; what passes it wrongly is dropped by the join.
 FILTER_WORDS = 1 << 20
 
@@ -218,7 +220,7 @@ def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
 
     signed = texts.select("t").mapInArrow(sign, "key long, h long, meta long")
     crowded = cut(entries.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("key").alias("hot_key"), F.ceil(F.col("rows") / HOT).cast("int").alias("blocks")))
-    groups = max(16, texts.sparkSession.sparkContext.defaultParallelism * 4)
+    groups = max(16, entries.count() * 4 // SIFT_ROWS)  # a line has about four keys for each index entry
     plain, hot = signed, None
     if crowded.limit(1).count():
         both = signed.join(crowded, F.col("key") == F.col("hot_key"), "left")
@@ -302,13 +304,13 @@ def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: the key) of every row, with n_lines, n_exact and n_near (lines removed as copies and as near-copies) and the text left.
+    """``keep`` columns (default: the key; those named like the following are left out) of every row, with n_lines, n_exact and n_near (lines removed as copies and as near-copies) and the text left.
 
     Lines stand between newlines; those under MIN_CHARS characters stay.  The first line of a class stays: by key (null last),
     then by row, then within the text.  A text loses its removed lines with the newlines that end them.  Null text: null, no lines.
     """
     ship(docs.sparkSession)
-    kept = [key] if keep is None else keep
+    kept = [n for n in ([key] if keep is None else keep) if n not in {text, "n_lines", "n_exact", "n_near"}]
     kind = docs.schema[key].dataType.simpleString()
     base = docs.select(F.struct(*[F.col(f"`{n}`") for n in dict.fromkeys([key, *kept])]).alias("_row"), F.col(f"`{text}`").alias("t")).withColumn("row", F.monotonically_increasing_id())
     texts = base.select(F.col(f"_row.`{key}`").alias("k"), "row", "t")
