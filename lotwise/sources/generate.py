@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import SESSION_MINUTES, SESSION_OPEN_MINUTES, trading_days
+from ..functions.hashing import SYMBOL_SALT, SYMBOL_STEP, splitmix64, unit
 from ..functions.ticks import TICK
 from ..session import ship
 
@@ -54,14 +55,38 @@ def _rng(cfg: GenConfig, *parts: int) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64(np.random.SeedSequence([cfg.seed, *parts])))
 
 
+#: Fixed value: popularity falls with rank by this power.
+ZIPF = 1.07
+
+
+def symbol_prices(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Base price, exp(3) to exp(9), and daily volatility, 0.005 to 0.05: functions of the symbol alone."""
+    ids = ids.astype(np.uint64)
+    price = unit(splitmix64(ids ^ np.uint64(SYMBOL_SALT)))
+    vol = unit(splitmix64(ids * np.uint64(SYMBOL_STEP) ^ np.uint64(SYMBOL_SALT)))
+    return np.exp(3 + 6 * price), 0.005 + 0.045 * vol
+
+
 def symbol_universe(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     """symbol_id, base_price, daily_vol."""
-    return spark.createDataFrame([(s, *_symbol(cfg, s)) for s in range(cfg.symbols)], "symbol_id long, base_price double, daily_vol double")
+    ship(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            price, vol = symbol_prices(pdf["id"].to_numpy())
+            yield pd.DataFrame({"symbol_id": pdf["id"], "base_price": price, "daily_vol": vol})
+
+    return spark.range(cfg.symbols).mapInPandas(run, "symbol_id long, base_price double, daily_vol double")
 
 
-def _symbol(cfg: GenConfig, s: int) -> tuple[float, float]:
-    r = _rng(cfg, 1, s)
-    return float(max(round(math.exp(r.uniform(3, 9)) / TICK) * TICK, TICK)), float(r.uniform(0.005, 0.05))
+def pick_symbols(r: np.random.Generator, n: int, k: int) -> list[int]:
+    """k different symbols of n by popularity, ascending; after many draws the most popular fill up."""
+    k = min(k, n)
+    upto = np.cumsum(np.arange(1, n + 1, dtype=float) ** -ZIPF)
+    drawn = np.minimum(np.searchsorted(upto, r.random(8 * k + 16) * upto[-1]), n - 1)
+    chosen = list(dict.fromkeys(drawn.tolist()))[:k]
+    known = set(chosen)
+    return sorted(chosen + [s for s in range(n) if s not in known][: k - len(chosen)])
 
 
 def client_weights(spark: SparkSession, cfg: GenConfig) -> DataFrame:
@@ -103,13 +128,10 @@ def client_trades(cfg: GenConfig, client: int, count: int, day_list: np.ndarray)
     """All trades of one client, in order of symbol and time."""
     r = _rng(cfg, 3, client)
     k = int(np.clip(round(count**0.4), 1, min(50, cfg.symbols)))
-    ranks = np.minimum(cfg.symbols - 1, np.floor(r.pareto(1.07, 20 * k)).astype(int))
-    symbols = list(dict.fromkeys(ranks.tolist()))[:k]
-    symbols += [s for s in range(cfg.symbols) if s not in set(symbols)][: k - len(symbols)]
-    symbols.sort()
+    symbols = pick_symbols(r, cfg.symbols, k)
+    prices, vols = symbol_prices(np.array(symbols))
     rows = []
-    for s, n in zip(symbols, split_count(count, r.exponential(size=len(symbols))), strict=True):
-        base, vol = _symbol(cfg, s)
+    for s, n, base, vol in zip(symbols, split_count(count, r.exponential(size=len(symbols))), prices, vols, strict=True):
         at, held, drift = int(r.integers(0, max(1, len(day_list) // 4))), 0, 0.0
         ts_day = -1
         micros = 0

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 
 import pytest
 from helpers import frame
@@ -155,6 +156,18 @@ def test_generator(spark, tmp_path):
         assert parts.sum() == total and (total < n or parts.min() >= 1)
 
 
+def test_symbols_depend_on_their_number_alone(spark):
+    def mixed(x):
+        z, m = (x + 0x9E3779B97F4A7C15) % 2**64, 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % m
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % m
+        return ((z ^ z >> 31) >> 11) / 2**53
+
+    for r in gen.symbol_universe(spark, gen.GenConfig(symbols=50)).collect():
+        assert r.base_price == pytest.approx(math.exp(3 + 6 * mixed(r.symbol_id ^ 0x505800)))
+        assert r.daily_vol == pytest.approx(0.005 + 0.045 * mixed(r.symbol_id * 0x9E3779B9 ^ 0x505800))
+
+
 def test_command_line(spark, tmp_path):
     book, packed, lots = (str(tmp_path / x) for x in ("book", "packed", "lots"))
     main(["gen", "--out", book, "--clients", "20", "--days", "30", "--whales", "2", "--mean-per-day", "1"], spark)
