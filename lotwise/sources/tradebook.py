@@ -36,10 +36,11 @@ def row_count(spark: SparkSession, path: str) -> int:
 def lineitem_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' trades in twenty symbols; returned items are sells."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    symbol = F.col("l_partkey") % 20
-    order = W.partitionBy("l_suppkey", symbol).orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    return li.select(
-        F.col("l_suppkey").alias("client_id"), symbol.alias("symbol_id"), F.row_number().over(order).cast("long").alias("seq"),
+    # the key is named before the window, so that matching finds the rows dealt out as it wants them
+    keyed = li.withColumn("client_id", F.col("l_suppkey")).withColumn("symbol_id", F.col("l_partkey") % 20)
+    order = W.partitionBy(*KEY).orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    return keyed.select(
+        *KEY, F.row_number().over(order).cast("long").alias("seq"),
         (F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * F.col("l_quantity").cast("long")).alias("signed_qty"),
         price_to_ticks(F.col("l_extendedprice") / F.col("l_quantity")).alias("price_ticks"), day_of(F.col("l_shipdate")).alias("day"),
     )

@@ -88,6 +88,21 @@ def test_packed_and_versions(spark, tmp_path):
     assert store.read_manifest(spark, path) == {"a": 1}
 
 
+def test_exchanges(spark):
+    """Windows share one exchange by key, and need none on a bucketed table."""
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(client_id")
+
+    t = frame(spark, PACKED)
+    assert exchanges(matching.fragments(t)) == 1
+    store.write_bucketed(t, "packed_trades", 4)
+    back = spark.table("packed_trades")
+    assert exchanges(matching.fragments(back)) == 0 and exchanges(pnl.pnl(matching.fragments(back), by=KEY)) == 0
+    assert rows(matching.fragments(back)) == rows(matching.fragments(t))
+    spark.sql("DROP TABLE packed_trades")
+
+
 def test_pages(spark):
     t = frame(spark, {(1, 1): [(1, 1, 1), (1, 1, 2)], (9, 1): [(1, 1, 900), (1, 1, 901)]})
     summary = pages.page_summary(t, 2)
