@@ -45,6 +45,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def number_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """df, read from files or a checkpoint, with a number for each row that a second read gives again.
+
+    Files are split by the cores that are there when a plan is made; that is pinned for the session, so that an executor lost
+    between two reads does not move the splits.
+    """
+    spark = df.sparkSession
+    for setting in ("spark.sql.files.minPartitionNum", "spark.sql.leafNodeDefaultParallelism"):
+        if spark.conf.get(setting, None) is None:
+            spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def words(text: str) -> F.Column:
     """Array of the words of a column, null counted as empty; JVM side."""
     c = F.coalesce(F.col(text), F.lit(""))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import OUT_BYTES, cut, text_bytes
+from .common import OUT_BYTES, cut, number_rows, text_bytes
 
 LENGTH, GRAM = 200, 32
 PERIOD = 32
@@ -207,14 +207,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """key, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: what is left) of every row.
 
     Null and empty texts have no bytes.  Rows alike are different documents, so all their windows repeat.  Texts under ``length``
-    bytes stay.  ``length`` is at least 64.
+    bytes stay.  ``length`` is at least 64.  docs are read more than once: they come from files or a checkpoint.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    base = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).withColumn("row", F.monotonically_increasing_id())
-    # the same rows get the same numbers again: they follow from files and their splits
+    base = number_rows(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")))
     texts = base.select("row", "t")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
