@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm import bpe, lines, mixing, quality, simhash
-from lotwise.llm.common import count_words, store, table
+from lotwise.llm.common import count_words, number_rows, store, table
 
 #: Near-copies: five-word shingles and at most this many of 64 bits apart, which is a similarity (Jaccard) of about 0.9.
 NEAR_BITS = 6
@@ -26,7 +26,7 @@ def _of_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs come from files, so a second read gives every row its number again."""
-    return docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    return number_rows(docs.select(*COLUMNS))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
