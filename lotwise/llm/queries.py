@@ -101,4 +101,17 @@ WITH v AS (
 SELECT * FROM r WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op10_topk": _TOP_K}
+_SUFFIXES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, s, md5(substr(h, 2 * s + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS s FROM d)),
+t AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS p FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, s, sum(CASE WHEN s - p <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY s) AS island FROM t),
+i AS (SELECT r, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY r, island),
+j AS (SELECT i.r, i.a, i.b, coalesce(lag(i.b) OVER (PARTITION BY i.r ORDER BY i.a), 0) AS z FROM i),
+c AS (SELECT j.r, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(d.h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head, max(b) AS last FROM j JOIN d USING (r) GROUP BY j.r)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.gone, 0) AS BIGINT) AS n_removed, coalesce(c.spans, 0) AS n_spans,
+  sha256(unhex(coalesce(c.head, '') || substr(d.h, 2 * coalesce(c.last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op3_suffixes": _SUFFIXES, "op10_topk": _TOP_K}
