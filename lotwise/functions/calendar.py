@@ -26,7 +26,7 @@ def trading_days(spark: SparkSession, start: str, n: int) -> DataFrame:
 
 
 def session_start(date: Column) -> Column:
-    return F.timestampadd("MINUTE", F.lit(SESSION_OPEN_MINUTES), date.cast("timestamp_ntz"))
+    return date.cast("timestamp_ntz") + F.expr(f"INTERVAL {SESSION_OPEN_MINUTES} MINUTE")
 
 
 def period_of(day: Column) -> Column:

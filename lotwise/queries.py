@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.calendar import period_label, trading_days, weekday
+from .functions.calendar import is_weekend, period_label, session_start, trading_days, weekday
 from .functions.rules import BucketRules, MatchPolicy
-from .functions.ticks import on_grid, ticks_to_value
+from .functions.ticks import on_grid, relative_error, speedup, ticks_to_value
 from .operators import accumulators, checkpoint, correction, matching, pages, pnl, stats
 from .plans import query, router
-from .schema import KEY
+from .schema import FRAGMENTS, KEY
+from .session import scratch
 from .sources import generate as gen
 from .sources import tradebook
+from .streaming import lots
 
 LI, EV = tradebook.lineitem_trades, tradebook.event_trades
 FIFO, LIFO, HIFO = MatchPolicy.FIFO, MatchPolicy.LIFO, MatchPolicy.HIFO
@@ -355,6 +357,35 @@ register(
 )
 register("holding_histogram", lambda s, d: pnl.holding_histogram(matching.fragments(LI(s, d))), f"{sql_fifo()} SELECT sell_day - buy_day AS span, count(*) AS fragments, CAST(sum(qty) AS BIGINT) AS matched_qty FROM f GROUP BY ALL")
 
+# a stream of the trades, in one batch after another, gives the fragments of the whole
+def streamed(s: SparkSession, d: str, policy: MatchPolicy) -> DataFrame:
+    trades, path = LI(s, d), scratch(s, "stream")
+    for lo, hi in ((None, CUTOFFS[1]), (CUTOFFS[1], None)):
+        part = trades if lo is None else trades.where(F.col("day") > lo)
+        (part if hi is None else part.where(F.col("day") <= hi)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    source = s.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    run = lots.stream_fragments(source, policy).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return s.read.schema(FRAGMENTS).parquet(f"{path}/out")
+
+
+register("stream_fragments_fifo", lambda s, d: streamed(s, d, FIFO), f"{sql_fifo()} SELECT * FROM f")
+register("stream_fragments_hifo", lambda s, d: streamed(s, d, HIFO), f"{sql_priority(SQL_ORDER[HIFO])} SELECT * FROM f")
+
+# scalars
+register("row_count", lambda s, d: s.createDataFrame([(tradebook.row_count(s, f"{d}/lineitem.parquet"),)], "rows long"), "SELECT count(*) AS rows FROM lineitem")
+register(
+    "relative_errors",
+    lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", relative_error(F.col("l_extendedprice"), 1000 * F.col("l_quantity")).alias("error"), speedup(F.col("l_extendedprice"), F.col("l_discount")).alias("ratio")),
+    "SELECT l_orderkey, l_linenumber, CASE WHEN abs(1000 * l_quantity) < 1 THEN abs(l_extendedprice - 1000 * l_quantity) ELSE abs((l_extendedprice - 1000 * l_quantity) / (1000 * l_quantity)) END AS error, CASE WHEN l_discount <= 0 THEN CAST(0 AS DOUBLE) ELSE l_extendedprice / l_discount END AS ratio FROM lineitem",
+)
+register(
+    "session_starts",
+    lambda s, d: trading_days(s, "2020-01-01", 20).select("idx", session_start(F.col("date")).alias("opens"), is_weekend(F.col("date")).alias("weekend")),
+    "SELECT CAST(row_number() OVER (ORDER BY dt) - 1 AS INTEGER) AS idx, dt + INTERVAL 225 MINUTE AS opens, false AS weekend FROM range(TIMESTAMP '2020-01-01', TIMESTAMP '2020-03-01', INTERVAL 1 DAY) r(dt) WHERE dayofweek(dt) NOT IN (0, 6) QUALIFY idx < 20",
+)
+register("query_spans", lambda s, d: s.createDataFrame([(i, q.span) for i, q in enumerate((query.Query(), query.Query(lo=DAY[0], hi=DAY[1])))], "id int, span string"), f"SELECT CAST(0 AS INTEGER) AS id, 'all-history' AS span UNION ALL SELECT 1, 'range[{DAY[0]},{DAY[1]}]'")
+
 # generated data: random by construction, so rows only
 SMALL = gen.GenConfig(clients=40, days=60, mean_per_day=1.0, whales=2)
 register("generated_tradebook", lambda s, d: gen.generate(s, SMALL))
