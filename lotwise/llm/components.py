@@ -9,6 +9,8 @@ gathered on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,3 +58,21 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 break
             label = nxt
     return label
+
+
+def pairs_by_key(keys: np.ndarray, probe: np.ndarray, portion: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of equal keys, about ``portion`` at once; two probes do not meet.  Rows are sorted by key, index entries before probes."""
+    if not len(keys):
+        return
+    ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
+    sizes = np.diff(np.append(0, ends))
+    start = np.repeat(ends - sizes, sizes)
+    entries = np.repeat(np.add.reduceat((~probe).astype(np.int64), ends - sizes), sizes)
+    before = np.minimum(np.arange(len(keys)) - start, entries)  # the index entries that stand before a row
+    total = np.append(0, np.cumsum(before))
+    r = 0
+    while r < len(keys):
+        stop = max(r + 1, int(np.searchsorted(total, total[r] + portion, side="right")) - 1)
+        a = np.repeat(np.arange(r, stop), before[r:stop])
+        yield a, np.arange(len(a)) - np.repeat(total[r:stop] - total[r], before[r:stop]) + start[a]
+        r = stop

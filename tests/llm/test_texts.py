@@ -84,10 +84,10 @@ def test_near_fingerprints_lose_no_link(spark, bits, hot):
 
 
 def test_thresholds_cover_the_distance():
-    blocks = [list(range(4 * i, 4 * i + 4)) for i in range(16)]
+    blocks = [list(range(2 * i, 2 * i + 2)) for i in range(32)]
     for n in (10, 10**6, 10**10):
         for bits in (1, 4, 9):
-            plan = simhash.make_plan(blocks, np.full((16, 16), max(1, n // 16)), n, bits)
+            plan = simhash.make_plan(blocks, np.full((32, 4), max(1, n // 4)), n, bits)
             assert sum(t + 1 for t in plan.radii) >= bits + 1
             used = [b for p in plan.parts for b in p]
             assert len(used) == len(set(used)) and max(map(len, plan.parts)) <= 32
