@@ -63,6 +63,11 @@ def rate(x: Column, lam: Column, most: float = MOST) -> Column:
     return F.lit(float(most)) / (1 + F.exp(-z))
 
 
+def exact_sum(x: Column) -> Column:
+    """A sum that does not depend on the order of its terms, so that reruns agree."""
+    return F.sum(x.cast("decimal(38,9)")).cast("double")
+
+
 def solve(classes: DataFrame, wanted: DataFrame, rounds: int = 60, most: float = MOST) -> DataFrame:
     """sid, lam and mean for each source of ``wanted`` (sid, source_size, target, mean); classes: sid, size, docs."""
     # each source's multiplier with the bracket that holds its root: the words taken grow with it;
@@ -74,8 +79,8 @@ def solve(classes: DataFrame, wanted: DataFrame, rounds: int = 60, most: float =
         x = F.col("size") / F.col("mean")
         r = rate(x, F.col("lam"), most)
         sums = known.join(now, F.col("cid") == F.col("sid")).groupBy("sid").agg(
-            F.sum(F.col("docs") * F.col("size") * r).alias("got"),
-            F.sum(F.col("docs") * F.col("size") * x * r * (1 - r / most)).alias("slope"),
+            exact_sum(F.col("docs") * F.col("size") * r).alias("got"),
+            exact_sum(F.col("docs") * F.col("size") * x * r * (1 - r / most)).alias("slope"),
         )
         over = F.col("got") > F.col("target")
         low, high = F.when(over, F.col("low")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("high"))
@@ -95,12 +100,13 @@ def solve(classes: DataFrame, wanted: DataFrame, rounds: int = 60, most: float =
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: the key) of every row, with size, source_size, target, rate, copies and taken.
+    """``keep`` columns (default: the key; those named like the following are left out) of every row, with size, source_size, target, rate, copies and taken.
 
     Null and empty texts have size 0 and no copies; a null source is a source like any other, last in order.  Copies depend
     on rows' contents alone, so reruns agree; rows alike in key, size and source may trade places.
     """
-    kept = [key] if keep is None else keep
+    made = {"size", "source_size", "target", "rate", "copies", "taken"}
+    kept = [n for n in ([key] if keep is None else keep) if n not in made]
     rows = docs.select(
         F.struct(*[F.col(f"`{n}`") for n in kept]).alias("_row"),
         F.xxhash64(F.col(f"`{key}`")).alias("h"),
@@ -146,13 +152,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def _running(cells: DataFrame, value: Column, falling: bool) -> DataFrame:
     """cells with ``upto``: the sum of value over the source's cells in order of size, own included; blocks of sizes first."""
     block = F.floor(F.log2(F.col("size") + 1) * 4)
-    df = cells.withColumn("_v", value).withColumn("_b", -block if falling else block)
+    df = cells.withColumn("_v", value.cast("decimal(38,9)")).withColumn("_b", -block if falling else block)
     size = F.col("size").desc() if falling else F.col("size").asc()
     inner = F.sum("_v").over(W.partitionBy("sid", "_b").orderBy(size, "cell").rowsBetween(W.unboundedPreceding, 0))
     sums = df.groupBy("sid", "_b").agg(F.sum("_v").alias("_t"))
     base = sums.select(
         F.col("sid").alias("_s"), F.col("_b").alias("_c"),
-        F.coalesce(F.sum("_t").over(W.partitionBy("sid").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_base"),
+        F.coalesce(F.sum("_t").over(W.partitionBy("sid").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
     )
     return df.withColumn("_in", inner).join(base, (F.col("sid") == F.col("_s")) & (F.col("_b") == F.col("_c"))).withColumn("upto", F.col("_in") + F.col("_base")).drop("_s", "_c", "_base", "_in", "_t")
 
@@ -160,7 +166,7 @@ def _running(cells: DataFrame, value: Column, falling: bool) -> DataFrame:
 def _round(rated: DataFrame) -> DataFrame:
     """rated cells with copies: whole numbers whose running sum follows that of docs * rate; empty documents get none."""
     amount = F.when(F.col("size") > 0, F.col("docs") * F.col("rate")).otherwise(0.0)
-    summed = _running(rated, F.round(amount, 9), falling=True)
+    summed = _running(rated, amount, falling=True)
     got = F.round(F.col("upto")) - F.round(F.col("upto") - F.col("_v"))
     copies = F.least(got, F.col("docs") * MOST).cast("long")
     return cut(summed.select("sid", "size", "cell", "docs", "rate", copies.alias("copies")))
@@ -173,7 +179,7 @@ def _make_up(dealt: DataFrame, goal: DataFrame) -> DataFrame:
     df = dealt.join(off, F.col("sid") == F.col("_o")).drop("_o")
     room = F.when(F.col("off") > 0, F.col("docs") * MOST - F.col("copies")).otherwise(F.col("copies"))
     df = df.withColumn("room", F.when(F.col("size") > 0, room).otherwise(F.lit(0)))
-    summed = _running(df, (F.col("room") * F.col("size")).cast("double"), falling=False)
-    left = F.greatest(F.abs(F.col("off")) - (F.col("upto") - F.col("_v")), F.lit(0.0))
+    summed = _running(df, F.col("room") * F.col("size"), falling=False)
+    left = F.greatest(F.abs(F.col("off")) - (F.col("upto") - F.col("_v")).cast("long"), F.lit(0))
     n = F.least(F.col("room"), F.when(F.col("size") > 0, F.floor(left / F.col("size"))).otherwise(F.lit(0))).cast("long")
     return cut(summed.withColumn("copies", (F.col("copies") + F.signum("off").cast("long") * n)).select("sid", "size", "cell", "docs", "rate", "copies"))
