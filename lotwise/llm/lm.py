@@ -85,7 +85,7 @@ def count_of(levels: np.ndarray, least: int) -> np.ndarray:
 
 def places(hashes: np.ndarray, q: int, i: int, size: int) -> np.ndarray:
     """Bit of probe i at level q, within a part of ``size`` bits."""
-    h = mix(hashes + np.uint64(q) * M1)
+    h = mix(hashes + np.uint64(q * int(M1) & 0xFFFFFFFFFFFFFFFF))
     step = mix(h ^ M2) | np.uint64(1)
     return (h + np.uint64(i) * step) % np.uint64(size)
 
