@@ -92,9 +92,18 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """gram hashes, context hashes, first windows and numbers of windows, with the anchor's offset in the first window packed above the number (<< 32)."""
-    mh, ch, first, count = [], [], [], []
+def pack(first: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """First window, the anchor's offset in it and number of windows in one long (40, 12 and 12 bits)."""
+    return first << 24 | offset << 12 | count
+
+
+def unpack(place):
+    return place >> 24, place >> 12 & 4095, place & 4095
+
+
+def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gram hashes, context hashes and places (see ``pack``)."""
+    mh, ch, place = [], [], []
     windows = len(text) - length + 1
     low = np.uint64((1 << 24) - 1)
     for c in range(0, max(windows, 0), STRIDE):
@@ -107,12 +116,11 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
         mh.append(h[at[start]])
         digest = xxhash.xxh3_64_intdigest
         ch.append(np.fromiter([digest(part[s:e]) for s, e in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)], np.uint64, len(start)))
-        first.append(start + c)
-        count.append(n | (at[start] - start) << 32)
+        place.append(pack(start + c, at[start] - start, n))
     if not mh:
         empty = np.empty(0, np.uint64)
-        return empty, empty, empty.view(np.int64), empty.view(np.int64)
-    return np.concatenate(mh), np.concatenate(ch), np.concatenate(first), np.concatenate(count)
+        return empty, empty, empty.view(np.int64)
+    return np.concatenate(mh), np.concatenate(ch), np.concatenate(place)
 
 
 def words_at(t: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -207,17 +215,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """key, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: what is left) of every row.
 
     Null and empty texts have no bytes.  Rows alike are different documents, so all their windows repeat.  Texts under ``length``
-    bytes stay.  ``length`` is at least 64.  docs are read more than once: they come from files or a checkpoint.
+    bytes stay.  ``length`` is from 64 to 4,096.  docs are read more than once: they come from files or a checkpoint.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
+    if not 2 * GRAM <= length <= 4096:
+        raise ValueError(f"length must be from {2 * GRAM} to 4096")
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     base = number_rows(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")))
     texts = base.select("row", "t")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "mh", "ch", "first", "count"]
+        names = ["row", "mh", "ch", "place"]
         for batch in batches:
             numbers, data = batch.column(0), text_bytes(batch.column(1))
             i = 0
@@ -228,22 +236,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     size += len(data[j])
                     j += 1
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32))
-                columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[c].view(np.int64) for x in found]))) for c in range(4)]
+                columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[c].view(np.int64) for x in found]))) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([numbers.slice(i, j - i), *columns], names=names)
                 i = j
 
-    per_text = cut(texts.mapInArrow(find, "row long, mh array<bigint>, ch array<bigint>, first array<bigint>, count array<bigint>"))
-    each = per_text.select("row", F.explode(F.arrays_zip("mh", "ch", "first", "count")).alias("a")).select("row", "a.mh", "a.ch", "a.first", "a.count")
+    per_text = cut(texts.mapInArrow(find, "row long, mh array<bigint>, ch array<bigint>, place array<bigint>"))
+    each = per_text.select("row", F.explode(F.arrays_zip("mh", "ch", "place")).alias("a")).select("row", "a.mh", "a.ch", "a.place")
     # cut, so that the join's sides are plain exchanges, whose hot partitions Spark can split
     grams = cut(each.groupBy("mh").agg(F.count("*").alias("n"), F.min("ch").alias("c1"), F.max("ch").alias("c2")).where("n > 1"))
     again = cut(each.join(grams.select(F.col("mh").alias("mh2"), (F.col("c1") != F.col("c2")).alias("mixed")), F.col("mh") == F.col("mh2")).drop("mh2"))
     mixed = again.where("mixed")
     # one copy of each distinct context of the buckets that have several
-    contexts = cut(mixed.groupBy("mh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "count")).alias("one")).select("mh", "ch", "n", "one.*"))
+    contexts = cut(mixed.groupBy("mh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")).select("mh", "ch", "n", "one.*"))
     crowds = contexts.groupBy("mh").agg(F.count("*").alias("m")).where(F.col("m") > hot).select(F.col("mh").alias("mh2"), F.lit(True).alias("crowded"))
     asked = contexts.join(crowds, F.col("mh") == F.col("mh2"), "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))).drop("mh2")
     groups = max(1, contexts.count() // GROUP)
-    wanted = asked.groupBy("row").agg(F.collect_list(F.struct("mh", "n", "first", "count", "crowded")).alias("asked"))  # at most a text's own anchors
+    wanted = asked.groupBy("row").agg(F.collect_list(F.struct("mh", "n", "place", "crowded")).alias("asked"))  # at most a text's own anchors
     fetched = _by_text(texts, wanted, "inner")
 
     def fetch(crowded: bool):
@@ -259,17 +267,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                                     pa.array([w["mh"] for w in some], pa.int64()),
                                     pa.array([w["n"] for w in some], pa.int64()),
                                     pa.array([number] * len(some), pa.int64()),
-                                    pa.array([w["first"] for w in some], pa.int64()),
-                                    pa.array([w["count"] for w in some], pa.int64()),
-                                    pa.array([data[w["first"] : w["first"] + (w["count"] & 0xFFFFFFFF) + length - 1] for w in some], pa.binary()),
+                                    pa.array([w["place"] for w in some], pa.int64()),
+                                    pa.array([data[a : a + m + length - 1] for a, _, m in (unpack(w["place"]) for w in some)], pa.binary()),
                                 ],
-                                names=["mh", "n", "row", "first", "count", "context"],
+                                names=["mh", "n", "row", "place", "context"],
                             )
                     for w in want if crowded else ():
-                        m = w["count"] & 0xFFFFFFFF
-                        hashes = np.fromiter([xxhash.xxh3_64_intdigest(data[s : s + length]) for s in range(w["first"], w["first"] + m)], np.uint64, m)
+                        start, _, m = unpack(w["place"])
+                        hashes = np.fromiter([xxhash.xxh3_64_intdigest(data[s : s + length]) for s in range(start, start + m)], np.uint64, m)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(m, w["mh"])), pa.array(hashes.view(np.int64)), pa.array(np.full(m, w["n"])), pa.array(np.full(m, number)), pa.array(np.arange(w["first"], w["first"] + m))],
+                            [pa.array(np.full(m, w["mh"])), pa.array(hashes.view(np.int64)), pa.array(np.full(m, w["n"])), pa.array(np.full(m, number)), pa.array(np.arange(start, start + m))],
                             names=["mh", "wh", "n", "row", "start"],
                         )
 
@@ -281,12 +288,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         t, mh = t.take(pa.array(order)), mh[order]
         bucket = np.cumsum(np.append(False, mh[1:] != mh[:-1]))
         ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(mh))
-        count, first, number, n = (t.column(c).to_numpy() for c in ("count", "first", "row", "n"))
+        number, n = t.column("row").to_numpy(), t.column("n").to_numpy()
+        first, offset, count = unpack(t.column("place").to_numpy())
         rows, lo, hi = [], [], []
         i = 0
         while i < len(mh):  # whole buckets, up to a block of contexts
             j = int(ends[max(np.searchsorted(ends, i + hot, side="right") - 1, np.searchsorted(ends, i, side="right"))])
-            flags = repeated(t.column("context").slice(i, j - i).to_pylist(), (count[i:j] >> 32).tolist(), (count[i:j] & 0xFFFFFFFF).tolist(), bucket[i:j], length)
+            flags = repeated(t.column("context").slice(i, j - i).to_pylist(), offset[i:j].tolist(), count[i:j].tolist(), bucket[i:j], length)
             for x in range(i, j):
                 if n[x] == 1:  # else all of it repeats anyway
                     a, b = runs(flags[x - i])
@@ -296,7 +304,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             i = j
         return pa.table({"row": pa.array(rows, pa.int64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
-    single = fetched.mapInArrow(fetch(False), "mh long, n long, row long, first long, count long, context binary")
+    single = fetched.mapInArrow(fetch(False), "mh long, n long, row long, place long, context binary")
     sorted_ = single.withColumn("g", F.pmod(F.xxhash64("mh"), F.lit(groups))).groupBy("g").applyInArrow(sort, "row long, lo long, hi long")
     spans = [sorted_]
     if crowds.limit(1).count():
@@ -307,7 +315,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     copies = contexts.where("n > 1").select(F.col("mh").alias("mh2"), F.col("ch").alias("ch2"))
     whole = [again.where("not mixed"), mixed.join(copies, (F.col("mh") == F.col("mh2")) & (F.col("ch") == F.col("ch2")))]
     for w in whole:
-        spans.append(w.select("row", F.col("first").alias("lo"), (F.col("first") + F.col("count").bitwiseAND(0xFFFFFFFF) - 1 + length).alias("hi")))
+        first, count = F.shiftright("place", 24), F.col("place").bitwiseAND(4095)
+        spans.append(w.select("row", first.alias("lo"), (first + count - 1 + length).alias("hi")))
     every = spans[0]
     for s in spans[1:]:
         every = every.unionByName(s)

@@ -184,8 +184,9 @@ def test_cover_and_strides(monkeypatch):
     r = random.Random(5)
     text = bytes(r.choice(b"ab") for _ in range(3000))
     monkeypatch.setattr(suffixes, "STRIDE", 257)
-    mh, ch, first, count = suffixes.anchors(text)
-    n = count & 0xFFFFFFFF
+    _, _, place = suffixes.anchors(text)
+    first, offset, n = suffixes.unpack(place)
+    assert (offset < 169).all()
     assert first[0] == 0 and (first[1:] == first[:-1] + n[:-1]).all() and first[-1] + n[-1] == len(text) - 199
     t = np.frombuffer(text + bytes(600), np.uint8)
     rank = suffixes.cover_ranks(t, 3000, 200)
