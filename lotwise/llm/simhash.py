@@ -297,6 +297,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     distinct = cut(fps.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(distinct, bits))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # cut, so that the join's sides are plain exchanges, whose hot partitions Spark can split
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     of_fp = rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("fp2"), "component_id")
     return fps.join(of_fp, F.col("fp") == F.col("fp2")).select(key, "fp", "component_id")
