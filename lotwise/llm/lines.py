@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import OUT_BYTES, cut
-from .components import components, merge_labels
+from .common import OUT_BYTES, cut, number_rows
+from .components import components, merge_labels, pairs_by_key
 
 MIN_CHARS, LONG, MOST = 20, 40, 2
 #: Index entries of a key that is not split, and rows of a group, about.
@@ -104,14 +104,20 @@ class Keys:
         return [hash64(data[a:b], seed) for a, b, seed in (cuts[:own] if index_only else cuts)], probe
 
 
-def sketches(lines: list[str]) -> np.ndarray:
-    """Counts of each line's characters by the last four bits of their codes, three bits each."""
-    if not lines:
-        return np.empty(0, np.uint64)
-    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    of = np.repeat(np.arange(len(lines), dtype=np.int64) << 4, [len(x) for x in lines])
-    counts = np.bincount(of | (codes & np.uint32(15)), minlength=len(lines) << 4).reshape(-1, 16) & 7
-    return (counts.astype(np.uint64) << (np.uint64(3) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+def sketches(lines: list[str], chars: int = 1 << 20) -> np.ndarray:
+    """Counts of each line's characters by the last four bits of their codes, three bits each; so many characters at once, about."""
+    out, i = [np.empty(0, np.uint64)], 0
+    while i < len(lines):
+        j, size = i, 0
+        while j < len(lines) and (j == i or size + len(lines[j]) <= chars):
+            size += len(lines[j])
+            j += 1
+        codes = np.frombuffer("".join(lines[i:j]).encode("utf-32-le"), np.uint32)
+        of = np.repeat(np.arange(j - i, dtype=np.int64) << 4, [len(x) for x in lines[i:j]])
+        counts = np.bincount(of | (codes & np.uint32(15)), minlength=(j - i) << 4).reshape(-1, 16) & 7
+        out.append((counts.astype(np.uint64) << (np.uint64(3) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64))
+        i = j
+    return np.concatenate(out)
 
 
 def sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,23 +173,6 @@ def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]
         yield i, [x or "" for x in batch.column(column).slice(i, step).to_pylist()]
 
 
-def _runs_of_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places of equal keys in a sorted array, in portions."""
-    if not len(keys):
-        return
-    ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
-    sizes = np.diff(np.append(0, ends))
-    start = np.repeat(ends - sizes, sizes)
-    before = np.arange(len(keys)) - start
-    total = np.append(0, np.cumsum(before))
-    r = 0
-    while r < len(keys):
-        stop = max(r + 1, int(np.searchsorted(total, total[r] + PAIRS, side="right")) - 1)
-        a = np.repeat(np.arange(r, stop), before[r:stop])
-        yield a, np.arange(len(a)) - np.repeat(total[r:stop] - total[r], before[r:stop]) + start[a]
-        r = stop
-
-
 def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """Links (u, v: hashes of lines) between near-duplicate distinct lines of column t, enough to keep their classes whole.
 
@@ -220,7 +209,7 @@ def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
 
     signed = texts.select("t").mapInArrow(sign, "key long, h long, meta long")
     crowded = cut(entries.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("key").alias("hot_key"), F.ceil(F.col("rows") / HOT).cast("int").alias("blocks")))
-    groups = max(16, entries.count() * 4 // SIFT_ROWS)  # a line has about four keys for each index entry
+    groups = max(12, entries.count() * 4 // SIFT_ROWS)  # a line has about four keys for each index entry
     plain, hot = signed, None
     if crowded.limit(1).count():
         both = signed.join(crowded, F.col("key") == F.col("hot_key"), "left")
@@ -231,22 +220,30 @@ def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
 
     def sift(t: pa.Table) -> pa.Table:
         key, h, meta = (t.column(c).to_numpy() for c in ("key", "h", "meta"))
-        order = np.lexsort((h, key))
+        order = np.lexsort((h, meta & 1, key))
         key, h, meta = key[order], h[order], meta[order].view(np.uint64)
         alive = np.zeros(len(key), bool)
         probe, sk = meta & np.uint64(1) == 1, meta >> np.uint64(1)
-        for a, b in _runs_of_pairs(key):
-            keep = (h[a] != h[b]) & ~(probe[a] & probe[b])
+        for a, b in pairs_by_key(key, probe, PAIRS):
+            keep = h[a] != h[b]
             a, b = a[keep], b[keep]
             keep = sketch_distance(sk[a], sk[b]) <= 2 * MOST
             alive[a[keep]] = alive[b[keep]] = True
+        order = np.lexsort((h, key))
+        key, h, alive = key[order], h[order], alive[order]
         first = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])) if len(key) else alive
         # a line that stands under a key both ways, or came from several tasks, counts once
         runs = np.cumsum(first) - 1 if len(key) else np.empty(0, int)
         kept = np.bincount(runs[alive], minlength=int(first.sum())) > 0
         return pa.table({"key": pa.array(key[first][kept]), "h": pa.array(h[first][kept])})
 
-    left = plain.withColumn("g", F.pmod("key", F.lit(groups)).cast("int")).groupBy("g").applyInArrow(sift, "key long, h long")
+    def sift_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = list(batches)  # numbers only, about SIFT_ROWS of them
+        if own:
+            yield from sift(pa.Table.from_batches(own)).to_batches()
+
+    # dealt out by key into so many parts, each a group: no sort
+    left = plain.repartition(groups, "key").mapInArrow(sift_part, "key long, h long")
     left = left.select("key", "h", F.lit(0).alias("i"), F.lit(0).alias("j"))
     if hot is not None:
 
@@ -292,7 +289,7 @@ def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
         sk = sketches(line)
         nodes, at = np.unique(h, return_inverse=True)
         label = np.arange(len(nodes))
-        for a, b in _runs_of_pairs(key):
+        for a, b in pairs_by_key(key, np.zeros(len(key), bool), PAIRS):
             keep = np.flatnonzero(sketch_distance(sk[a], sk[b]) <= 2 * MOST)
             for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
                 if label[at[x]] != label[at[y]] and within(line[x], line[y], threshold(min(len(line[x]), len(line[y])))):
@@ -307,12 +304,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     """``keep`` columns (default: the key; those named like the following are left out) of every row, with n_lines, n_exact and n_near (lines removed as copies and as near-copies) and the text left.
 
     Lines stand between newlines; those under MIN_CHARS characters stay.  The first line of a class stays: by key (null last),
-    then by row, then within the text.  A text loses its removed lines with the newlines that end them.  Null text: null, no lines.
+    then by row, then within the text.  docs are read more than once: they come from files or a checkpoint.  A text loses its removed lines with the newlines that end them.  Null text: null, no lines.
     """
     ship(docs.sparkSession)
     kept = [n for n in ([key] if keep is None else keep) if n not in {text, "n_lines", "n_exact", "n_near"}]
     kind = docs.schema[key].dataType.simpleString()
-    base = docs.select(F.struct(*[F.col(f"`{n}`") for n in dict.fromkeys([key, *kept])]).alias("_row"), F.col(f"`{text}`").alias("t")).withColumn("row", F.monotonically_increasing_id())
+    base = number_rows(docs.select(F.struct(*[F.col(f"`{n}`") for n in dict.fromkeys([key, *kept])]).alias("_row"), F.col(f"`{text}`").alias("t")))
     texts = base.select(F.col(f"_row.`{key}`").alias("k"), "row", "t")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +340,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     distinct = cut(lines.groupBy("h").agg(F.min(place).alias("first")))
     roots = components(link_lines(texts, lines.select(F.explode("entries").alias("key"))))
     rooted = distinct.join(roots, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("root", "h").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    classes = cut(rooted.groupBy("root").agg(F.min("first").alias("best")))
     # of each line: the first place of its own text, and of its class
     known = rooted.join(classes.withColumnRenamed("root", "root2"), F.col("root") == F.col("root2")).select(F.col("h").alias("h2"), "first", "best")
     gone = lines.drop("entries").join(known, F.col("h") == F.col("h2")).where(place != F.col("best")).select("row", "no", (place == F.col("first")).alias("near"))
