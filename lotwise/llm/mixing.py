@@ -92,7 +92,7 @@ def solve(classes: DataFrame, wanted: DataFrame, rounds: int = 60, most: float =
             F.when(off < 1e-9, F.col("lam")).when((step > low) & (step < high), step).otherwise((low + high) / 2).alias("lam"),
             low.alias("low"), high.alias("high"), off.alias("off"),
         )
-        now = cut(moved)
+        now = cut(moved.coalesce(1))  # a row a source: one small file, not one for every shuffle partition
         if not (now.agg(F.max("off").alias("off")).first()["off"] or 0.0) > 1e-8:
             break
         now = now.drop("off")
@@ -114,13 +114,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         count_words(f"`{text}`").alias("size"),
     )
     rows = cut(rows)
-    per_source = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
+    per_source = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).coalesce(1))
     goal = cut(
         targets(per_source.select("source", "source_size"), weights, share)
         .withColumn("sid", F.row_number().over(W.orderBy(F.col("source").isNull(), "source")))
         .join(per_source.select(F.col("source").alias("source2"), "n_docs"), F.col("source").eqNullSafe(F.col("source2")))
         .drop("source2")
         .withColumn("mean", F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0)))
+        .coalesce(1)
     )
     named = goal.select(F.col("source").alias("source2"), "sid")
     classes = cut(rows.groupBy("source", "size").agg(F.count("*").alias("docs")).join(named, F.col("source").eqNullSafe(F.col("source2"))).select("sid", "size", "docs"))
