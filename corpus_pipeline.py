@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, lines, mixing, quality, simhash
+from lotwise.llm import bpe, lines, mixing, near, quality
 from lotwise.llm.common import count_words, number_rows, store, table
 
-#: Near-copies: five-word shingles and at most this many of 64 bits apart, which is a similarity (Jaccard) of about 0.9.
+#: What tests compare near_dedup with on a corpus whose near-copies are all as near: fingerprints at most this many of 64 bits apart.
 NEAR_BITS = 6
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,10 +44,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the document of the smallest id stays."""
+    """Of each group of near-copies (five-word shingles, Jaccard similarity of 0.8 or more) the document of the smallest id stays."""
     numbered = _numbered(docs)
     keyed = numbered.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("key"), "text")
-    groups = simhash.simhash_groups(keyed, key="key", shingle=5, bits=NEAR_BITS)
+    groups = near.near_groups(keyed, key="key", shingle=5)
     stay = groups.where(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("row2"))
     return _of_rows(numbered, stay).select(*COLUMNS)
 
