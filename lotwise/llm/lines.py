@@ -1,9 +1,10 @@
 """Operator 6: near-duplicate lines by a segment-partition edit join.
 
-Lines of at least ``MIN_CHARS`` characters are compared by edit distance; the
-threshold goes with the shorter line: 1 under ``LONG`` characters, else 2.
+Lines are compared by edit distance; the threshold goes with the shorter line: 0
+(exact copies) under ``NEAR_CHARS`` characters, 1 under ``LONG``, else 2.  Short
+lines of white space only are left alone.
 
-Distinct lines are joined as follows.  A line of length n and threshold t is
+Distinct lines of ``NEAR_CHARS`` or more are joined as follows.  A line of length n and threshold t is
 indexed under its t + 1 segments.  By the pigeonhole principle t edits leave a
 segment whole, so a line of the same or up to t more characters has one of them
 as a substring; multi-match-aware positions (those consistent with the edits on
@@ -36,7 +37,7 @@ from ..session import ship
 from .common import OUT_BYTES, cut, number_rows
 from .components import components, merge_labels, pairs_by_key
 
-MIN_CHARS, LONG, MOST = 20, 40, 2
+MIN_CHARS, NEAR_CHARS, LONG, MOST = 1, 20, 40, 2
 #: Index entries of a key that is not split, and rows of a group, about.
 HOT, GROUP_ROWS = 1024, 65_536
 #: Keys of a group of the first sieve, about.
@@ -48,7 +49,12 @@ FILTER_WORDS = 1 << 20
 
 def threshold(n: int) -> int:
     """Edits allowed to a shorter line of n characters."""
-    return 1 if n < LONG else MOST
+    return 0 if n < NEAR_CHARS else 1 if n < LONG else MOST
+
+
+def takes_part(line: str) -> bool:
+    """Whether a line is compared at all: short ones of white space only are not."""
+    return len(line) >= NEAR_CHARS or len(line) >= MIN_CHARS and not line.isspace()
 
 
 def segments(n: int, t: int) -> list[tuple[int, int]]:
@@ -75,11 +81,13 @@ def line_hash(line: str) -> int:
 
 
 def plan_of(n: int) -> list[tuple[int, int, int, int, bool]]:
-    """(indexed length, segment, start, end, probe) of a line of n characters, index entries first.  A probe that would be an index entry again is left out."""
+    """(indexed length, segment, start, end, probe) of a line of n characters, index entries first; none below NEAR_CHARS.  A probe that would be an index entry again is left out."""
+    if n < NEAR_CHARS:
+        return []
     t = threshold(n)
     own = [(i, a, b) for i, (a, b) in enumerate(segments(n, t))]
     plan = [(n, *x, False) for x in own]
-    for length in range(n, max(MIN_CHARS, n - MOST) - 1, -1):
+    for length in range(n, max(NEAR_CHARS, n - MOST) - 1, -1):
         t = threshold(length)
         if n - length <= t:
             plan += [(length, *x, True) for x in probes(n, length, t) if length < n or x not in own]
@@ -187,7 +195,7 @@ def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
                 fresh, names = [], []
                 for text in part:
                     for line in text.split("\n"):
-                        if len(line) < MIN_CHARS:
+                        if len(line) < NEAR_CHARS:
                             continue
                         h = line_hash(line)
                         if h in seen:
@@ -264,7 +272,7 @@ def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for _, part in _pieces(batch, "t"):
-                lines = [line for text in part for line in text.split("\n") if len(line) >= MIN_CHARS]
+                lines = [line for text in part for line in text.split("\n") if len(line) >= NEAR_CHARS]
                 h = np.fromiter(map(line_hash, lines), np.uint64, len(lines))
                 hit = np.flatnonzero(table[h & np.uint64(FILTER_WORDS - 1)] >> (h >> np.uint64(40) & np.uint64(63)) & np.uint64(1))
                 fresh = []
@@ -303,7 +311,7 @@ def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: the key; those named like the following are left out) of every row, with n_lines, n_exact and n_near (lines removed as copies and as near-copies) and the text left.
 
-    Lines stand between newlines; those under MIN_CHARS characters stay.  The first line of a class stays: by key (null last),
+    Lines stand between newlines; blank ones under NEAR_CHARS characters stay.  The first line of a class stays: by key (null last),
     then by row, then within the text.  docs are read more than once: they come from files or a checkpoint.  A text loses its removed lines with the newlines that end them.  Null text: null, no lines.
     """
     ship(docs.sparkSession)
@@ -319,7 +327,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
                 of, no, hashes, entries, count = [], [], [], [], []
                 for x, text in enumerate(part):
                     for z, line in enumerate(text.split("\n")):
-                        if len(line) >= MIN_CHARS:
+                        if takes_part(line):
                             h = line_hash(line)
                             of.append(i + x)
                             no.append(z)
