@@ -2,24 +2,29 @@
 
 Counting: Python workers count hashed tokens and bigrams of the training texts
 in portions of bounded size; each portion goes out as one row for each segment
-of the hash range, and one group a segment adds the portions up.  The number of
-segments follows the bytes of text, so a group's size does not.
-
-Filter: counts are quantised on a logarithmic scale, and an n-gram of level q
-is entered as (n-gram, 1), ..., (n-gram, q).  A segment's part of the bit array
-is made where its counts are; the parts are put together and broadcast.  The
-array has ``BITS`` bits an entry and at most ``MAX_BITS`` in all (128 MB): with
-more entries than that allows, false positives become commoner, and nothing else
-changes.  A count is read by probing (n-gram, 1), (n-gram, 2), ... to the first
-miss.
-
-Scores: log10 of P(w | v) = (c(v w) + m p(w)) / (c(v) + m), all counts read from
-the filter, p the smoothed unigram estimate.  Bigrams seen once in training are
-left to the unigrams, as parameter ``MIN_BIGRAM`` says.
+of the hash range that it has n-grams of, and one group a segment adds the
+portions up.  The number of segments follows the bytes of text, so a group's
+size does not, and rows are never more than n-grams.
+
+Filter: counts are quantised on a logarithmic scale (1, 2 and 3 exactly), and an
+n-gram of level q is entered as (n-gram, 1), ..., (n-gram, q), all n-grams from
+a count of one on.  A count is read by probing (n-gram, 1), (n-gram, 2), ... to
+the first miss or the highest level entered; a level stands for the mean count of
+the n-grams that have it.
+
+The filter has ``BITS`` bits an entry at any size.  A part of it of at most
+``MAX_BITS`` is broadcast: n-grams from the least level on whose entries fit, all of them
+while the whole fits.  What is not found there is probed in the whole filter,
+which then lies in segments: distinct n-grams meet their segment's part, and
+their levels are joined back to the texts.  Either way gives the same levels
+but for the filters' false positives.
+
+Scores: log10 of P(w | v) = (c(v w) + m p(w)) / (c(v) + m), with c(v w) no more than
+c(v) and p the smoothed unigram estimate; counts are those of the filter, exact ones for the ``TOP``
+commonest tokens.  Over all w it sums to one within the quantisation.
 
 The base score needs exact counts: the ``TOP`` commonest tokens (at most) are
-broadcast, and what other tokens a document has is joined with the counts by a
-shuffle, where by construction no key is hot.
+broadcast, and what other tokens a document has is joined with the counts.
 """
 
 from __future__ import annotations
@@ -38,12 +43,12 @@ from ..session import ship
 from .common import cut, text_bytes
 
 BITS, PROBES = 12, 4
-MAX_BITS = 1 << 30
-MIN_BIGRAM = 2
+#: Bits of the part that is broadcast, at most (64 MB).
+MAX_BITS = 1 << 29
 #: Tokens with exact counts that are broadcast, at most; by count, in bins of an eighth of a doubling.
 TOP = 200_000
 #: Weight of the unigram estimate, in counts.
-PRIOR = 1000.0
+PRIOR = 300.0
 #: Bytes of text a segment of the hash range stands for, and tokens a portion is counted over.
 SEGMENT_BYTES, PORTION = 16 << 20, 1_000_000
 #: Levels a doubling.
@@ -73,14 +78,9 @@ def bigrams_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(before * M1 + tokens * M2)
 
 
-def level(counts: np.ndarray, least: int) -> np.ndarray:
-    """1 for ``least``, and one more for each 1/STEPS of a doubling."""
-    return 1 + np.floor(STEPS * np.log2(counts / least) + 1e-9).astype(np.int64)
-
-
-def count_of(levels: np.ndarray, least: int) -> np.ndarray:
-    """A level's middle; 0 for level 0."""
-    return np.where(levels > 0, least * 2.0 ** ((levels - 0.5) / STEPS) if least > 1 else np.maximum(1.0, 2.0 ** ((levels - 0.5) / STEPS) - 0.2), 0.0)
+def level(counts: np.ndarray) -> np.ndarray:
+    """1, 2 and 3 for themselves, and one more for each 1/STEPS of a doubling."""
+    return np.floor(STEPS * np.log2(counts) + 1e-9).astype(np.int64) + (counts == 1)
 
 
 def places(hashes: np.ndarray, q: int, i: int, size: int) -> np.ndarray:
@@ -91,27 +91,38 @@ def places(hashes: np.ndarray, q: int, i: int, size: int) -> np.ndarray:
 
 
 class Filter:
-    """The whole bit array: ``segments`` parts of ``size`` bits; a hash's upper half of the range says its part."""
+    """A bit array: ``segments`` parts of ``size`` bits; a hash's upper half of the range says its part.  top: the highest level entered."""
 
-    def __init__(self, data: np.ndarray, segments: int, size: int):
-        self.data, self.segments, self.size = data, segments, size
+    def __init__(self, data: np.ndarray, segments: int, size: int, top: int):
+        self.data, self.segments, self.size, self.top = data, segments, size, top
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """Levels read by probing; sorted hashes are read part by part."""
         out = np.zeros(len(hashes), np.int64)
         left = np.arange(len(hashes))
         base = segment_of(hashes, self.segments).astype(np.int64) * (self.size // 8)
-        q = 0
-        while len(left):
-            q += 1
+        for q in range(1, self.top + 1):
             for i in range(PROBES):
+                if not len(left):
+                    return out
                 at = places(hashes[left], q, i, self.size).astype(np.int64)
                 left = left[(self.data[base[left] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                if not len(left):
-                    break
             out[left] = q
         return out
 
 
+def enter(bits: np.ndarray, hashes: np.ndarray, levels: np.ndarray) -> None:
+    """Set the bits (one a byte) of all entries of n-grams."""
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        hashes, levels = hashes[levels >= q], levels[levels >= q]
+        for i in range(PROBES):
+            bits[places(hashes, q, i, len(bits))] = 1
+
+
+def part_bits(entries: int) -> int:
+    return max(64, -(-BITS * entries // 64) * 64)
+
+
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
 
@@ -132,20 +143,19 @@ def _merge(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def count_ngrams(training: DataFrame, text: str, segments: int) -> DataFrame:
-    """segment, uni_h, uni_c, bi_h, bi_c (sorted arrays as bytes; bigrams from MIN_BIGRAM on), one row a segment."""
+    """segment, uni_h, uni_c, bi_h, bi_c (sorted arrays as bytes), tokens, types, bins of unigram counts, and by level the n-grams and the sums of their counts, one row a segment."""
     names = ("uni_h", "uni_c", "bi_h", "bi_c")
     schema = "segment int, " + ", ".join(f"{n} binary" for n in names)
 
     def rows(uni: tuple[np.ndarray, np.ndarray], bi: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        cuts = []
-        for h, _ in (uni, bi):
-            cuts.append(np.searchsorted(segment_of(h, segments), np.arange(segments + 1)))
-        columns: dict[str, list[bytes]] = {n: [] for n in names}
-        for s in range(segments):
-            for (h, c), at, x in ((uni, cuts[0], "uni"), (bi, cuts[1], "bi")):
-                columns[f"{x}_h"].append(h[at[s] : at[s + 1]].tobytes())
-                columns[f"{x}_c"].append(c[at[s] : at[s + 1]].astype(np.uint32).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int32()), *[pa.array(columns[n], pa.binary()) for n in names]], names=["segment", *names])
+        of = [segment_of(h, segments) for h, _ in (uni, bi)]
+        present = np.unique(np.concatenate(of))
+        columns: list[list[bytes]] = []
+        for (h, c), s in zip((uni, bi), of, strict=True):
+            c = c.astype(np.uint32)
+            edges = list(zip(np.searchsorted(s, present, "left").tolist(), np.searchsorted(s, present, "right").tolist(), strict=True))
+            columns += [[h[x:y].tobytes() for x, y in edges], [c[x:y].tobytes() for x, y in edges]]
+        return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *[pa.array(x, pa.binary()) for x in columns]], names=["segment", *names])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, first = array("Q"), array("q")
@@ -169,20 +179,23 @@ def count_ngrams(training: DataFrame, text: str, segments: int) -> DataFrame:
 
     def add(t: pa.Table) -> pa.Table:
         read = {n: [np.frombuffer(b, np.uint64 if n.endswith("h") else np.uint32) for b in t.column(n).to_pylist()] for n in names}
-        uni = _merge(read["uni_h"], [c.astype(np.int64) for c in read["uni_c"]])
-        bi_h, bi_c = _merge(read["bi_h"], [c.astype(np.int64) for c in read["bi_c"]])
-        bi = bi_h[bi_c >= MIN_BIGRAM], bi_c[bi_c >= MIN_BIGRAM]
-        entries = int(level(uni[1], 1).sum() + level(bi[1], MIN_BIGRAM).sum())
-        bins = np.bincount(_bin(uni[1]), minlength=BINS)
-        out = {"segment": [t.column("segment")[0].as_py()], "uni_h": [uni[0].tobytes()], "uni_c": [uni[1].tobytes()], "bi_h": [bi[0].tobytes()], "bi_c": [bi[1].tobytes()]}
-        out |= {"tokens": [int(uni[1].sum())], "types": [len(uni[0])], "entries": [entries], "bins": [bins.tolist()]}
-        kinds = [("segment", pa.int32()), *[(n, pa.binary()) for n in names], ("tokens", pa.int64()), ("types", pa.int64()), ("entries", pa.int64()), ("bins", pa.list_(pa.int64()))]
-        return pa.table(out, schema=pa.schema(kinds))
+        out = {"segment": [t.column("segment")[0].as_py()]}
+        for x in ("uni", "bi"):
+            h, c = _merge(read[f"{x}_h"], [c.astype(np.int64) for c in read[f"{x}_c"]])
+            q = level(c)
+            out |= {f"{x}_h": [h.tobytes()], f"{x}_c": [c.tobytes()], f"{x}_n": [np.bincount(q, minlength=LEVELS).tolist()], f"{x}_sum": [np.bincount(q, weights=c, minlength=LEVELS).astype(np.int64).tolist()]}
+            if x == "uni":
+                out |= {"tokens": [int(c.sum())], "types": [len(h)], "bins": [np.bincount(_bin(c), minlength=BINS).tolist()]}
+        kinds = {"segment": pa.int32(), **{n: pa.binary() for n in names}, "tokens": pa.int64(), "types": pa.int64(), **{n: pa.list_(pa.int64()) for n in LISTS}}
+        return pa.table({n: out[n] for n in kinds}, schema=pa.schema(list(kinds.items())))
 
     counted = training.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, schema)
-    return counted.groupBy("segment").applyInArrow(add, f"{schema}, tokens long, types long, entries long, bins array<bigint>")
+    return counted.groupBy("segment").applyInArrow(add, f"{schema}, tokens long, types long, " + ", ".join(f"{n} array<bigint>" for n in LISTS))
 
 
+#: Levels of counts up to 2^63, and columns of lists by level or bin.
+LEVELS = STEPS * 64
+LISTS = ("bins", "uni_n", "uni_sum", "bi_n", "bi_sum")
 #: Bins of counts, an eighth of a doubling each.
 BINS = 512
 
@@ -191,12 +204,19 @@ def _bin(counts: np.ndarray) -> np.ndarray:
     return np.floor(8 * np.log2(np.maximum(counts, 1)) + 1e-9).astype(np.int64)
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, prior: float = PRIOR) -> DataFrame:
+def least_level(n: np.ndarray, most: int) -> int:
+    """The least level from which on all n-grams' entries fit into ``most`` bits; n: n-grams by level."""
+    entries = np.cumsum((n * np.arange(len(n)))[::-1])[::-1]  # of this level and above
+    return max(1, int(np.searchsorted(-entries * BITS, -most)))
+
+
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, prior: float = PRIOR, max_bits: int = MAX_BITS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every row.
 
     A row is held out, and not learned from, where crc32 of its key's text is ``held`` modulo ``folds``; null keys are learned
     from.  Null and empty texts are the end alone.  Tokens are told apart by 64-bit hashes.  Without training texts all
-    counts are zero.
+    counts are zero.  Repeated rows are learned from and scored each; texts of any length are read whole; an empty table
+    gives an empty one.  Other columns, whatever their names, play no part.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -204,37 +224,49 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     out = F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds == held, F.lit(False))
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), out.alias("held_out"))
     training = rows.where("not held_out")
-    size = training.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    segments = max(1, -(-size // SEGMENT_BYTES))
+    found = training.agg(F.sum(F.octet_length("t")).alias("size"), F.count("*").alias("n")).first()
+    n_texts = found["n"]
+    segments = max(1, -(-(found["size"] or 0) // SEGMENT_BYTES))
     merged = cut(count_ngrams(training, "t", segments))
-    total = merged.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.sum("entries").alias("entries")).first()
-    n, v, entries = total["tokens"] or 0, total["types"] or 0, total["entries"] or 0
-    n_texts = training.count()
-    # bits of each segment's part
-    part = max(64, min(BITS * entries, MAX_BITS) // segments // 64 * 64 + 64)
+    total = merged.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    n, v = total["tokens"] or 0, total["types"] or 0
+    lists = {}
+    for name in LISTS:  # some hundred rows each
+        lists[name] = np.zeros(BINS if name == "bins" else LEVELS, np.int64)
+        for r in merged.select(F.posexplode(name).alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
+            lists[name][r["i"]] = r["n"]
+    # what a level stands for
+    uni_value, bi_value = (lists[f"{x}_sum"] / np.maximum(lists[f"{x}_n"], 1) for x in ("uni", "bi"))
+    by_level = lists["uni_n"] + lists["bi_n"]
+    highest = int(np.flatnonzero(by_level).max(initial=0))
+    least = least_level(by_level, max_bits)
+    whole = least == 1
+    part = part_bits(-(-int((by_level * np.arange(LEVELS))[least:].sum()) // segments))
+
+    def parts(least: int, size: int | None):
+        """Each segment's part of a filter of the levels from ``least`` on."""
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                bits = np.zeros(part, np.uint8)
-                for h, c, least in ((row["uni_h"], row["uni_c"], 1), (row["bi_h"], row["bi_c"], MIN_BIGRAM)):
-                    h, q = np.frombuffer(h, np.uint64), level(np.frombuffer(c, np.int64), least)
-                    for at in range(1, int(q.max(initial=0)) + 1):
-                        h, q = h[q >= at], q[q >= at]
-                        for i in range(PROBES):
-                            bits[places(h, at, i, part)] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([row["segment"]], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for segment, *arrays in zip(*(batch.column(n).to_pylist() for n in ("segment", "uni_h", "uni_c", "bi_h", "bi_c")), strict=True):
+                    h = np.concatenate([np.frombuffer(arrays[i], np.uint64) for i in (0, 2)])
+                    q = level(np.concatenate([np.frombuffer(arrays[i], np.int64) for i in (1, 3)]))
+                    h, q = h[q >= least], q[q >= least]
+                    bits = np.zeros(size or part_bits(int(q.sum())), np.uint8)
+                    enter(bits, h, q)
+                    yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+
+        return merged.select("segment", "uni_h", "uni_c", "bi_h", "bi_c").mapInArrow(run, "segment int, bits binary")
 
     data = np.zeros(segments * part // 8, np.uint8)
-    for row in merged.select("segment", "uni_h", "uni_c", "bi_h", "bi_c").mapInArrow(enter, "segment int, bits binary").toLocalIterator():  # MAX_BITS in all
+    for row in parts(least, part).toLocalIterator():  # max_bits in all
         at = row["segment"] * part // 8
         data[at : at + part // 8] = np.frombuffer(row["bits"], np.uint8)
     # the commonest tokens: all bins from the first down to which at most TOP tokens have their counts
-    bins = {r["b"]: r["n"] for r in merged.select(F.posexplode("bins").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n")).collect()}  # BINS rows
     cutoff, above = BINS, 0
-    while cutoff > 0 and above + bins.get(cutoff - 1, 0) <= TOP:
+    while cutoff > 0 and above + lists["bins"][cutoff - 1] <= TOP:
         cutoff -= 1
-        above += bins.get(cutoff, 0)
+        above += lists["bins"][cutoff]
 
     def counts(common: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,9 +286,14 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     scale = n + 0.5 * (v + 1)
     log_scale = math.log10(scale)
 
+    def read(lookup: Filter, hashes: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Counts of sorted hashes, NaN for those that the whole filter must be asked for."""
+        q = lookup.levels(hashes)
+        return value[q] if whole else np.where(q >= least, value[q], np.nan)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, common, common_c = shared.value
-        lookup = Filter(data, segments, part)
+        lookup = Filter(data, segments, part, highest)
         for batch in batches:
             texts = text_bytes(batch.column(1))
             i = 0
@@ -269,6 +306,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
                     j += 1
                 t, begin = np.frombuffer(tokens, np.uint64), np.frombuffer(first, np.int64)
                 lengths = np.diff(np.append(begin, len(t)))
+                doc = np.repeat(np.arange(j - i), lengths)
                 types, inv = np.unique(t, return_inverse=True)
                 at = np.minimum(np.searchsorted(common, types), max(len(common) - 1, 0))
                 known = (common[at] == types) if len(common) else np.zeros(len(types), bool)
@@ -276,29 +314,36 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
                 base = np.add.reduceat(np.where(known, np.log10(exact + 0.5), 0.0)[inv], begin)
                 n_known = np.add.reduceat(known.astype(np.int64)[inv], begin)
                 # what is not common is looked up by a join
-                doc = np.repeat(np.arange(j - i), lengths)
                 rare = ~known[inv]
                 pair, times = np.unique(doc[rare].astype(np.uint64) << np.uint64(32) | inv[rare].astype(np.uint64), return_counts=True)
-                per_doc = np.bincount((pair >> np.uint64(32)).astype(np.int64), minlength=j - i)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32))
-                rare_h = pa.ListArray.from_arrays(offsets, pa.array(types[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)))
-                rare_n = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))
+                rare_h = _lists(pair >> np.uint64(32), j - i, pa.array(types[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)))
+                rare_n = _lists(pair >> np.uint64(32), j - i, pa.array(times.astype(np.int32)))
                 # the model's counts
-                uni = count_of(lookup.levels(types), 1)
-                p = (uni[inv] + 0.5) / scale
-                both = count_of(lookup.levels(bigrams_of(t, begin)), MIN_BIGRAM)
+                uni = exact.astype(float)
+                uni[~known] = read(lookup, types[~known], uni_value)
+                pairs, inv2 = np.unique(bigrams_of(t, begin), return_inverse=True)
+                both = read(lookup, pairs, bi_value)[inv2]
                 context = np.empty(len(t))
                 context[1:] = uni[inv[:-1]]
                 context[begin] = n_texts
-                context = np.maximum(context, both)
-                logs = np.add.reduceat(np.log10((both + prior * p) / (context + prior)), begin)
+                logs = np.log10((np.minimum(both, context) + prior * (uni[inv] + 0.5) / scale) / (context + prior))
+                open_ = np.isnan(logs)
+                logs = np.add.reduceat(np.where(open_, 0.0, logs), begin)
+                # once a document: terms of which a count is not known yet
+                pair, where, times = np.unique(doc[open_].astype(np.uint64) << np.uint64(32) | inv2[open_].astype(np.uint64), return_index=True, return_counts=True)
+                where = np.flatnonzero(open_)[where]
+                before = t[np.maximum(where - 1, 0)]  # a text's first token has a context that is known
+                terms = [pa.array(x.view(np.int64)) for x in (pairs[inv2[where]], t[where], before)]
+                terms += [pa.array(x, from_pandas=True) for x in (both[where], uni[inv[where]], context[where])]  # NaN: null
+                terms = pa.StructArray.from_arrays([*terms, pa.array(times.astype(np.int32))], names=["b", "w", "v", "cb", "cw", "cv", "times"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(logs), rare_h, rare_n],
-                    names=["k", "held_out", "n_tokens", "n_known", "base", "score", "rare_h", "rare_n"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(logs), rare_h, rare_n, _lists(pair >> np.uint64(32), j - i, terms)],
+                    names=["k", "held_out", "n_tokens", "n_known", "base", "score", "rare_h", "rare_n", "open"],
                 )
                 i = j
 
-    scored = rows.select("k", "t", "held_out").mapInArrow(score, f"k {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<bigint>, rare_n array<int>")
+    open_type = "array<struct<b: bigint, w: bigint, v: bigint, cb: double, cw: double, cv: double, times: int>>"
+    scored = rows.select("k", "t", "held_out").mapInArrow(score, f"k {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<bigint>, rare_n array<int>, open {open_type}")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     rest = merged.select("uni_h", "uni_c").mapInArrow(counts(False), "h long, c long").withColumnRenamed("h", "h2")
     pairs = scored.select("row", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("x")).select("row", F.col("x.rare_h").alias("h"), F.col("x.rare_n").alias("times"))
@@ -309,7 +354,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
         .agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
         .withColumnRenamed("row", "row2")
     )
-    done = scored.drop("rare_h", "rare_n").join(found, F.col("row") == F.col("row2"), "left")
+    done = scored.drop("rare_h", "rare_n", "open").join(found, F.col("row") == F.col("row2"), "left").drop("row2")
+    if not whole:
+        terms = scored.select("row", F.inline("open"))
+        values = probed(terms, parts(1, None), segments, highest)
+        late = resolve(terms, values, uni_value, bi_value, prior, scale).groupBy("row").agg(F.sum("term").alias("late")).withColumnRenamed("row", "row2")
+        done = done.join(late, F.col("row") == F.col("row2"), "left").withColumn("score", F.col("score") + F.coalesce("late", F.lit(0.0)))
     return done.select(
         F.col("k").alias(key),
         "held_out",
@@ -319,3 +369,37 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * log_scale).alias("base_score"),
         "score",
     )
+
+
+def _lists(of: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """Lists 0 .. n - 1 of values; of: each value's list, ascending."""
+    counts = np.bincount(of.astype(np.int64), minlength=n)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
+
+
+def probed(terms: DataFrame, filters: DataFrame, segments: int, highest: int) -> DataFrame:
+    """h and q, the level of each distinct n-gram that terms do not know yet, where the whole filter has it."""
+    asked = F.array_compact(F.array(*[F.when(F.col(f"c{x}").isNull(), F.col(x)) for x in ("b", "w", "v")]))
+    h = terms.select(F.explode(asked).alias("h")).distinct()
+    h = h.withColumn("segment", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(segments).cast("long"), 32).cast("int"))
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes, q = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(left) and len(right):
+            data = np.frombuffer(right.column("bits")[0].as_py(), np.uint8)
+            hashes = left.column("h").to_numpy()
+            q = Filter(data, 1, 8 * len(data), highest).levels(hashes.view(np.uint64))
+        return pa.table({"h": pa.array(hashes[q > 0], pa.int64()), "q": pa.array(q[q > 0], pa.int64())})
+
+    return cut(h.groupBy("segment").cogroup(filters.groupBy("segment")).applyInArrow(probe, "h long, q long"))
+
+
+def resolve(terms: DataFrame, values: DataFrame, uni_value: np.ndarray, bi_value: np.ndarray, prior: float, scale: float) -> DataFrame:
+    """row and term: times log10 P(w | v) of each open term."""
+    for x, value in (("b", bi_value), ("w", uni_value), ("v", uni_value)):
+        known = values.select(F.col("h").alias("_h"), F.element_at(F.array(*[F.lit(float(y)) for y in value]), (F.col("q") + 1).cast("int")).alias("_c"))
+        # a term that knows this count is dealt out by its bigram
+        terms = terms.join(known, F.when(F.col(f"c{x}").isNull(), F.col(x)).otherwise(F.col("b")) == F.col("_h"), "left")
+        terms = terms.withColumn(f"c{x}", F.coalesce(f"c{x}", "_c", F.lit(0.0))).drop("_h", "_c")
+    p = (F.least("cb", "cv") + prior * (F.col("cw") + 0.5) / scale) / (F.col("cv") + prior)
+    return terms.select("row", (F.col("times") * F.log10(p)).alias("term"))

@@ -216,24 +216,6 @@ def test_language_model(docs, corpus, top, monkeypatch):
     assert sum(r.score for r in trained) > sum(r.base_score for r in trained)
 
 
-def test_filter_keeps_levels():
-    r = np.random.default_rng(3)
-    hashes = r.integers(0, 2**64, 20000, np.uint64)
-    counts = r.integers(1, 5000, 20000)
-    q = lm.level(counts, 1)
-    segments, size = 3, 64 * (12 * int(q.sum()) // 3 // 64 + 1)
-    bits = np.zeros((segments, size), np.uint8)
-    part = lm.segment_of(hashes, segments).astype(int)
-    for at in range(1, q.max() + 1):
-        for i in range(lm.PROBES):
-            bits[part[q >= at], lm.places(hashes[q >= at], at, i, size)] = 1
-    f = lm.Filter(np.packbits(bits, bitorder="little"), segments, size)
-    found = f.levels(hashes)
-    assert (found >= q).all() and (found == q).mean() > 0.98  # never under, seldom over
-    assert (f.levels(r.integers(0, 2**64, 20000, np.uint64)) == 0).mean() > 0.97
-    assert np.abs(lm.count_of(q, 1) / counts - 1).max() < 0.35
-
-
 # 5, 7 --------------------------------------------------------------------------
 
 
