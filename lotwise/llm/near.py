@@ -1,24 +1,22 @@
-"""Near-copies of documents: all pairs whose sets of word shingles have a Jaccard similarity of ``NUM / DEN`` or more.
-
-The join is exact but for collisions of 64-bit hashes: candidates come from a
-prefix filter, which loses no pair, and each is verified on the whole sets.
-
-1.  Texts become sets of shingle hashes; texts of one set are one node.  Slots of
-    the hash range that are common within a task's portion are counted, so that
-    shingles in them come last in the order of step 2.  The order decides costs,
-    never results.
-2.  Two sets of n and m <= n shingles at the similarity share one of the first
-    n - ceil(s n) + 1 of the larger with one of the first m - ceil(2 s m / (1 + s)) + 1
-    of the smaller.  The latter are index entries, the others probes; they meet
-    by shingle, and pairs whose sizes or places rule the similarity out are dropped.
-    Shingles of very many entries are split into blocks, each pair of blocks a group.
-3.  Sets of the pairs left are fetched.  Each has a sketch: the parities of its
+"""Near-copies of documents: operator 1's fingerprints at a wider radius, and then the Jaccard similarity of the sets of word shingles themselves.
+
+1.  Texts become sets of shingle hashes, and sets two SimHash fingerprints of 64
+    bits each; texts of one set are one node.
+2.  Nodes of which the first fingerprints differ in few bits (``TIGHT``) meet by the
+    generalised pigeonhole principle.  Each group answers with the minimum spanning forest of its candidates, by
+    bits of both fingerprints, and the forest's pairs are verified.  This links
+    the bulk of a cluster without its pairs.
+3.  Nodes at up to ``BITS`` bits meet again; the candidates now are all pairs that
+    are not linked yet, but for those whose sizes or whose two fingerprints
+    together rule the similarity out.
+4.  Sets of the pairs to be verified are fetched.  Each has a sketch: the parities of its
     shingles by hash, 2 to 4 bits a shingle; bits in which two sketches differ are
-    no more than shingles in which the sets do, so pairs with too many go.
-4.  Of the rest intersections are counted.
+    no more than shingles in which the sets do, so pairs with too many go.  Of
+    the rest intersections are counted.
 
-Components of linked sets come from ``components``.  A cluster of m different
-near-copies costs up to m * m / 2 verified pairs.
+Every link has the similarity.  At a similarity s fingerprints differ in each bit
+with a chance of acos(2 s / (1 + s)) / pi, so step 3 misses some pairs near
+the least s; a cluster is lost only with all of a document's pairs.
 """
 
 from __future__ import annotations
@@ -33,17 +31,19 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import OUT_BYTES, cut, text_bytes
-from .components import components, pairs_by_key
+from .components import components, merge_labels
+from .simhash import HOT, close_pairs, meet, plan_for
 
 #: Fixed value: the similarity that makes near-copies, as a fraction.
 NUM, DEN = 4, 5
-#: Slots that common shingles are counted in, shingles of a portion, and the count within one that makes a slot common.
-SLOTS, PORTION, COMMON = 1 << 22, 1 << 22, 3
-#: Rows of a shingle that is not split, and rows of a group, about.
-HOT, GROUP_ROWS = 2048, 250_000
-PAIRS = 1 << 20
+#: Differing bits of the first fingerprints, and of both together, in steps 2 and 3.
+TIGHT, TIGHT_BOTH, BITS, BOTH = 8, 22, 13, 29
+#: Candidates of a group that are thinned to a forest at once.
+FOREST = 1 << 20
 #: The filter that picks the sets to fetch has so many words of 64 bits (8 MB), whatever the corpus; what passes it wrongly is dropped by the join.
 FILTER_WORDS = 1 << 20
+#: An odd multiplier.
+MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -63,9 +63,14 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 7)
 
 
-def prefixes(n: int) -> tuple[int, int]:
-    """Lengths of the prefixes of a set of n that are probed, and of them indexed."""
-    return n + (-NUM * n // DEN) + 1, n + (-2 * NUM * n // (NUM + DEN)) + 1
+def two_fingerprints(s: np.ndarray) -> np.ndarray:
+    """Majority of the bits of the hashes, and of the hashes mixed."""
+    mixed = (s ^ (s >> np.uint64(31))) * MIX
+    both = np.stack([s, mixed ^ (mixed >> np.uint64(29))], axis=1)
+    total = np.zeros(128, np.int64)
+    for i in range(0, len(s), 255):  # so many fit a byte
+        total += np.unpackbits(both[i : i + 255].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(s), bitorder="little").view(np.uint64)
 
 
 def reaches(common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -98,78 +103,51 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, step)
 
 
-def _longs(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.uint64).view(np.int64)) for x in columns.values()], names=list(columns))
-
-
-def near_links(texts: DataFrame, named: DataFrame, levels: np.ndarray, shingle: int) -> DataFrame:
-    """Links (u, v: ids of sets) between different sets at the similarity.  texts: row, t; named: row and sid of one text of each set."""
+def forest(u: np.ndarray, v: np.ndarray, cost: np.ndarray, nodes: int) -> np.ndarray:
+    """Places of the links of a minimum spanning forest: in each round every tree takes its cheapest link to another."""
+    order = np.argsort(cost, kind="stable")
+    label, taken = np.arange(nodes), []
+    while len(order):
+        a, b = label[u[order]], label[v[order]]
+        order, a, b = order[a != b], a[a != b], b[a != b]
+        if not len(order):
+            break
+        _, first = np.unique(np.stack([a, b], axis=1).reshape(-1), return_index=True)
+        best = order[np.unique(first // 2)]
+        taken.append(best)
+        label = merge_labels(label, u[best], v[best])
+    return np.concatenate([np.empty(0, np.int64), *taken]).astype(np.int64)
+
+
+def candidates(nodes: DataFrame, bits: int, both: int, trees: bool, hot: int = HOT) -> DataFrame:
+    """Pairs (u, v: sid) of nodes (sid, fp, fp2, n, label) of different labels; trees: of each group a minimum spanning forest only."""
+    plan, n = plan_for(nodes, bits)
+
+    def check(c: dict[str, np.ndarray]) -> pa.Table:
+        order = np.lexsort((c["probe"], c["gkey"]))
+        c = {k: x[order] for k, x in c.items()}
+        fp2, size, label = c["fp2"].view(np.uint64), c["n"], c["label"]
+        ids, at = np.unique(c["sid"], return_inverse=True)
+        found = np.empty((3, 0), np.int64)
+        parts = [found]
+        for a, b in close_pairs(c["gkey"], c["fp"], c["probe"], c["left"], c["right"], bits):
+            d = np.bitwise_count(c["fp"][a] ^ c["fp"][b]).astype(np.int64) + np.bitwise_count(fp2[a] ^ fp2[b])
+            keep = (d <= both) & (label[a] != label[b]) & (DEN * np.minimum(size[a], size[b]) >= NUM * np.maximum(size[a], size[b]))
+            parts.append(np.stack([at[a[keep]], at[b[keep]], d[keep]]))
+            if sum(p.shape[1] for p in parts) > FOREST and trees:
+                found = np.concatenate(parts, axis=1)
+                parts = [found[:, forest(*found, len(ids))]]
+        found = np.concatenate(parts, axis=1)
+        found = found[:, forest(*found, len(ids))] if trees else found
+        pairs = np.unique(np.stack([np.minimum(found[0], found[1]), np.maximum(found[0], found[1])], axis=1), axis=0)
+        return pa.table({"u": ids[pairs[:, 0]], "v": ids[pairs[:, 1]]})
+
+    return meet(nodes.select("sid", "fp", "fp2", "n", "label"), plan, n, check, "u long, v long", hot).distinct()
+
+
+def similar_pairs(pairs: DataFrame, named: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Those of the pairs (u, v) of sets that have the similarity.  texts: row, t; named: row and sid of one text of each set."""
     sc = texts.sparkSession.sparkContext
-    shared_levels = sc.broadcast(levels)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = shared_levels.value, set()
-        for part in _pieces(batches):
-            tokens, sids, metas = [np.empty(0, np.uint64)], [], []
-            for t in text_bytes(part.column(0)):
-                s = shingle_set(t, shingle)
-                sid = set_id(s)
-                if sid in seen:
-                    continue
-                seen.add(sid)
-                n = len(s)
-                probed, indexed = prefixes(n)
-                tokens.append(s[np.lexsort((s, level[s & np.uint64(SLOTS - 1)]))[:probed]])
-                sids.append(np.full(probed, sid, np.uint64))
-                place = np.arange(probed, dtype=np.uint64)
-                metas.append(np.uint64(n) << np.uint64(32) | place << np.uint64(1) | (place >= indexed).astype(np.uint64))
-            if len(seen) > 1 << 20:
-                seen.clear()
-            if sids:
-                yield _longs(key=np.concatenate(tokens), sid=np.concatenate(sids), meta=np.concatenate(metas))
-
-    signed = texts.select("t").mapInArrow(sign, "key long, sid long, meta long")
-    # written once: it is counted and dealt out
-    signed = cut(signed)
-    crowded = cut(signed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("key").alias("hot_key"), F.ceil(F.col("rows") / HOT).cast("int").alias("blocks")))
-    groups = max(12, signed.count() // GROUP_ROWS)
-
-    def meet(key: np.ndarray, sid: np.ndarray, meta: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((meta & 1, key))
-        key, sid, meta = key[order], sid[order], meta[order]
-        size, place = meta >> 32, (meta & 0xFFFFFFFF) >> 1
-        for a, b in pairs_by_key(key, meta & 1 == 1, PAIRS):
-            keep = sid[a] != sid[b]
-            a, b = a[keep], b[keep]
-            most = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
-            keep = reaches(np.minimum(most, np.minimum(size[a], size[b])), size[a] + size[b])
-            u, v = sid[a[keep]], sid[b[keep]]
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    def meet_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = list(batches)  # numbers only, about GROUP_ROWS of them
-        if own:
-            t = pa.Table.from_batches(own)
-            yield from meet(*(t.column(c).to_numpy() for c in ("key", "sid", "meta")))
-
-    plain, hot = signed, None
-    if crowded.limit(1).count():
-        both = signed.join(crowded, F.col("key") == F.col("hot_key"), "left")
-        plain = both.where("blocks is null").select("key", "sid", "meta")
-        hot = both.where("blocks is not null").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-        hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        hot = hot.select("key", "sid", "meta", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    pairs = plain.repartition(groups, "key").mapInArrow(meet_part, "u long, v long")
-    if hot is not None:
-
-        def meet_block(t: pa.Table) -> pa.Table:
-            found = list(meet(*(t.column(c).to_numpy() for c in ("key", "sid", "meta"))))
-            return pa.Table.from_batches(found, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-
-        pairs = pairs.unionByName(hot.groupBy("key", "i", "j").applyInArrow(meet_block, "u long, v long"))
-    pairs = cut(pairs.distinct())
-
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
     rows = named.join(wanted.withColumnRenamed("sid", "sid2"), F.col("sid") == F.col("sid2")).select("row")
     mixed = rows.select(F.xxhash64("row").alias("h"))
@@ -227,45 +205,34 @@ def near_links(texts: DataFrame, named: DataFrame, levels: np.ndarray, shingle:
     return with_both(alike, "s").select("u", "v", "s_u", "s_v").mapInArrow(verify, "u long, v long")
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, hot: int = HOT) -> DataFrame:
     """key and component_id (the smallest key among all that links reach, itself included) of every row.
 
-    Null text counts as empty; texts without words are copies of each other.  docs are read more than once: they come from
-    files or a checkpoint, and key is the same each time.
+    Null text counts as empty; texts without words are copies of each other, and texts of fewer words than a shingle are one
+    shingle.  Texts of any length are read whole, repeated rows stay, other columns play no part, and an empty table gives an
+    empty one.  docs are read more than once: they come from files or a checkpoint, and key is the same each time.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{key}`").alias("row"), F.col(f"`{text}`").alias("t"))
     kind = docs.schema[key].dataType.simpleString()
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held = np.zeros(SLOTS, np.uint32), 0
-
-        def common(row: pa.DataType) -> pa.RecordBatch:
-            slots = np.flatnonzero(counts >= COMMON)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(slots), row), pa.array(slots), pa.array(counts[slots].astype(np.int64))], names=["row", "sid", "n"])
-
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(batches):
-            ids = []
-            for t in text_bytes(part.column(1)):
-                s = shingle_set(t, shingle)
-                ids.append(set_id(s))
-                counts[s & np.uint64(SLOTS - 1)] += 1  # a slot counts once a text
-                held += len(s)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.nulls(len(ids), pa.int64())], names=["row", "sid", "n"])
-            if held > PORTION:
-                yield common(part.column(0).type)
-                counts[:], held = 0, 0
-        if held:
-            yield common(part.column(0).type)
-
-    found = cut(texts.mapInArrow(name, f"row {kind}, sid long, n long"))
-    levels = np.zeros(SLOTS, np.uint8)
-    often = found.where("n is not null").groupBy("sid").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
-    levels[often.column("sid").to_numpy()] = np.ceil(np.log2(often.column("n").to_numpy() + 1.0)).astype(np.uint8)
-    own = found.where("n is null").select("row", "sid")
-    named = cut(own.groupBy("sid").agg(F.min("row").alias("row")))
-    roots = components(near_links(texts, named, levels, shingle))
-    rooted = named.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "row", F.coalesce("root", "sid").alias("root"))
+            sets = [shingle_set(t, shingle) for t in text_bytes(part.column(1))]
+            fps = np.array([two_fingerprints(s) for s in sets], np.uint64).reshape(-1, 2)
+            columns = [np.array([set_id(s) for s in sets], np.uint64), fps[:, 0], fps[:, 1]]
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x.copy().view(np.int64)) for x in columns], pa.array([len(s) for s in sets], pa.int64())], names=["row", "sid", "fp", "fp2", "n"])
+
+    own = cut(texts.mapInArrow(sign, f"row {kind}, sid long, fp long, fp2 long, n long"))
+    nodes = cut(own.groupBy("sid").agg(F.min("row").alias("row"), *[F.min(x).alias(x) for x in ("fp", "fp2", "n")]))
+    named = nodes.select("sid", "row")
+    first = cut(candidates(nodes.withColumn("label", F.col("sid")), TIGHT, TIGHT_BOTH, True, hot))
+    first = cut(similar_pairs(first, named, texts, shingle))
+    roots = components(first).withColumnRenamed("root", "label")
+    labelled = cut(nodes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "fp", "fp2", "n", F.coalesce("label", "sid").alias("label")))
+    rest = cut(candidates(labelled, BITS, BOTH, False, hot))
+    roots = components(first.unionByName(similar_pairs(rest, named, texts, shingle)))
+    rooted = nodes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "row", F.coalesce("root", "sid").alias("root"))
     # cut, so that the join's sides are plain exchanges, whose hot partitions Spark can split
     least = cut(rooted.groupBy("root").agg(F.min("row").alias("component_id")))
     of_sid = rooted.select("sid", "root").join(least, "root").select(F.col("sid").alias("sid2"), "component_id")

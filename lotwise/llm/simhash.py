@@ -13,17 +13,18 @@ fingerprints that differ in at most ``bits`` bits are then linked:
   differ in more than ``bits``, so no link is lost whatever the estimates.
 * Each fingerprint is stored under its value in each partition used and probes
   the values within t_i of it, larger values only, so a pair meets once.
-* Values met by many fingerprints are split into blocks, each pair of blocks a
-  group of its own.  Groups are verified with popcounts in numpy and answer
-  with a spanning forest, never with all their pairs.
+* Values of many fingerprints or probes are split into blocks of both, each pair of blocks a
+  group of its own; probes of values without fingerprints end there.  Groups are
+  verified with popcounts in numpy and answer with a spanning forest, never with
+  all their pairs.
 
 Components come from ``components``; nothing of size of the corpus reaches the
-driver.
+driver.  ``near`` verifies what meets here on sets of shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -41,14 +42,16 @@ from .components import components, merge_labels, pairs_by_key
 #: Correlated bits are grouped into so many blocks, each with so many values.
 BLOCKS = 32
 VALUES = 1 << 64 // BLOCKS
-#: A partition's value of more fingerprints than this is split into blocks of about this many.
-HOT = 4096
+#: A partition's value of more fingerprints and probes than this is split into blocks of about half as many.
+HOT = 32_768
 #: Rows of one verified group, about.
 GROUP_ROWS = 32_768
-#: Candidate pairs verified at once.
-PAIRS = 1 << 20
-#: Relative costs of a shuffled row (about 3 microseconds) and of a verified candidate (about 31 nanoseconds, measured).
-ROW_COST, PAIR_COST = 1.0, 0.01
+#: Candidate pairs verified at once, and pairs of a value from which on they are verified as a block.
+PAIRS, BLOCK = 1 << 18, 1 << 12
+#: Relative costs of a shuffled row (about 3 microseconds) and of a verified candidate (about 5 nanoseconds in blocks).
+ROW_COST, PAIR_COST = 1.0, 0.0017
+#: Partitions tried, at most.
+MOST_PARTS = 12
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -146,7 +149,9 @@ def allocate(parts: list[list[int]], shares: list[np.ndarray], n: int, bits: int
             for t in range(-1, min(bits, len(part)) + 1):
                 more = 0.0
                 if t >= 0:
-                    more = ROW_COST * n * (1 + sum(comb(len(part), k) for k in range(1, t + 1)) / 2) + PAIR_COST * n * n * share[: t + 1].sum() / 2
+                    rows = 1 + sum(comb(len(part), k) for k in range(1, t + 1)) / 2
+                    copies = max(1.0, n * share[0] * rows / HOT)  # of rows of split values
+                    more = ROW_COST * n * rows * copies + PAIR_COST * n * n * share[: t + 1].sum() / 2
                 key = used + t
                 if key not in step or cost + more < step[key][0]:
                     step[key] = (cost + more, (*chosen, t))
@@ -157,7 +162,7 @@ def allocate(parts: list[list[int]], shares: list[np.ndarray], n: int, bits: int
 def make_plan(blocks: list[list[int]], histograms: np.ndarray, n: int, bits: int) -> Plan:
     per_block = [distances(h) for h in histograms]
     options = []
-    for m in range(2, 9):
+    for m in range(2, MOST_PARTS + 1):
         cuts = [round(i * BLOCKS / m) for i in range(m + 1)]
         parts = [sorted(b for block in blocks[x:y] for b in block) for x, y in zip(cuts, cuts[1:])]
         shares = []
@@ -204,28 +209,50 @@ def signatures(fps: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(probes)
 
 
-def verify(keys: np.ndarray, fps: np.ndarray, probe: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (pairs of fingerprints) of the links within one group.
+def close_pairs(keys: np.ndarray, fps: np.ndarray, probe: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of one key, at ``bits`` or fewer differing bits: two index entries, or a probe and an entry, one on the left and the other on the right side.
 
-    Rows of one key are compared: index entries with each other, probes with index entries; left and right say
-    to which side of a pair of blocks a row belongs (both for unsplit keys).
+    Rows are sorted by key, index entries before probes.
     """
+
+    def good(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = (left[a] & right[b]) | (left[b] & right[a])
+        return a[keep], b[keep]
+
+    if not len(keys):
+        return
+    ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
+    starts = np.append(0, ends[:-1])
+    entries = np.add.reduceat((~probe).astype(np.int64), starts)
+    large = entries * (ends - starts) > BLOCK
+    for s, e, m in zip(starts[large].tolist(), ends[large].tolist(), entries[large].tolist(), strict=True):
+        step = max(1, PAIRS // m)
+        for r in range(s, e, step):
+            a, b = np.nonzero(np.bitwise_count(fps[r : min(e, r + step), None] ^ fps[None, s : s + m]) <= bits)
+            a, b = a + r, b + s
+            before = b < a  # each pair of entries once
+            yield good(a[before], b[before])
+    few = np.flatnonzero(np.repeat(~large, ends - starts))
+    for a, b in pairs_by_key(keys[few], probe[few], PAIRS):
+        a, b = few[a], few[b]
+        near = np.bitwise_count(fps[a] ^ fps[b]) <= bits
+        yield good(a[near], b[near])
+
+
+def verify(keys: np.ndarray, fps: np.ndarray, probe: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (pairs of fingerprints) of the links within one group, in rows as for close_pairs but in any order."""
     order = np.lexsort((probe, keys))
     keys, fps, probe, left, right = keys[order], fps[order], probe[order], left[order], right[order]
     nodes, at = np.unique(fps, return_inverse=True)
     label = np.arange(len(nodes))
-    for a, b in pairs_by_key(keys, probe, PAIRS):
-        keep = ((left[a] & right[b]) | (left[b] & right[a])) & (label[at[a]] != label[at[b]])
-        a, b = a[keep], b[keep]
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= bits
-        label = merge_labels(label, at[a[near]], at[b[near]])
+    for a, b in close_pairs(keys, fps, probe, left, right, bits):
+        label = merge_labels(label, at[a], at[b])
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
 
 
-def links(distinct: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) that keep their components: enough pairs at ``bits`` or fewer differing bits, and none else."""
-    ship(distinct.sparkSession)
+def plan_for(distinct: DataFrame, bits: int) -> tuple[Plan, int]:
+    """The plan for the fingerprints (column fp), and their number."""
     n = distinct.count()
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,46 +279,74 @@ def links(distinct: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
     histograms = np.zeros(BLOCKS * VALUES, np.int64)
     for row in distinct.select("fp").mapInArrow(count_values, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # 128 rows
         histograms[row["i"]] = row["n"]
-    plan = make_plan(blocks, histograms.reshape(BLOCKS, VALUES), n, bits)
+    return make_plan(blocks, histograms.reshape(BLOCKS, VALUES), n, bits), n
 
-    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        keys, rows, probes = signatures(fps, plan)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(probes)], names=["key", "fp", "probe"])
 
-    def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 8192):
-                yield sign(batch.slice(i, 8192))
+def meet(nodes: DataFrame, plan: Plan, n: int, check: Callable[[dict[str, np.ndarray]], pa.Table], schema: str, hot: int = HOT) -> DataFrame:
+    """What check answers for each group of nodes (column fp, and others of longs) that the plan brings together.
 
-    signed = distinct.select("fp").mapInArrow(in_slices, "key long, fp long, probe boolean")
-    crowded = cut(signed.where("not probe").groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > hot).select(F.col("key").alias("hot_key"), F.ceil(F.col("rows") / hot).cast("int").alias("blocks")))
+    check gets the nodes' columns and gkey (rows of one gkey are compared), probe, left and right, as close_pairs takes them.
+    """
+    names = nodes.columns
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 8192):
+                batch = whole.slice(i, 8192)
+                keys, rows, probes = signatures(batch.column(names.index("fp")).to_numpy(zero_copy_only=False).view(np.uint64), plan)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(probes), *[c.take(at) for c in batch.columns]], names=["key", "probe", *names])
+
+    signed = nodes.mapInArrow(sign, "key long, probe boolean, " + ", ".join(f"{x} long" for x in names))
+    sizes = signed.groupBy("key").agg(F.count_if(~F.col("probe")).alias("entries"), F.count_if("probe").alias("probes")).where(F.col("entries") + F.col("probes") > hot)
+    half = max(1, hot // 2)
+    crowded = cut(sizes.select(F.col("key").alias("hot_key"), F.ceil(F.col("entries") / half).cast("int").alias("eb"), F.ceil(F.col("probes") / half).cast("int").alias("pb")))
     per_row = sum(1 + sum(comb(len(p), k) for k in range(1, t + 1)) / 2 for p, t in zip(plan.parts, plan.radii, strict=True))
     groups = max(1, int(n * per_row / GROUP_ROWS))
-    own_block = F.lit(0)
-    spread = signed.select("key", "fp", "probe", own_block.alias("i"), own_block.alias("j"), own_block.alias("own"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"))
+    zero = F.lit(0)
+    columns = ["key", "probe", *names]
+    spread = signed.select(*columns, zero.alias("i"), zero.alias("j"), zero.alias("own"), zero.alias("kind"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"))
     if crowded.limit(1).count():
-        # a hot key's rows go to every pair of blocks (i, j), i <= j, that has their own block
+        # of a hot key, blocks of entries meet each other (kind 0) and blocks of probes (kind 1)
         known = signed.join(crowded, F.col("key") == F.col("hot_key"), "left")
-        plain = known.where("blocks is null").select("key", "fp", "probe", own_block.alias("i"), own_block.alias("j"), own_block.alias("own"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"))
-        split = known.where("blocks is not null").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "fp", "probe", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-        spread = plain.unionByName(split.withColumn("g", F.xxhash64("key", "i", "j")))
-
-    def check(t: pa.Table) -> pa.Table:
-        cols = {c: t.column(c).to_numpy() for c in ("key", "fp", "probe", "i", "j", "own")}
-        key = cols["key"] * 1_000_003 ^ (cols["i"].astype(np.int64) << 20) ^ cols["j"]  # only to tell apart what else shares a group
-        u, v = verify(key, cols["fp"].view(np.uint64), cols["probe"].astype(bool), cols["own"] == cols["i"], cols["own"] == cols["j"], bits)
+        plain = known.where("eb is null").select(*columns, zero.alias("i"), zero.alias("j"), zero.alias("own"), zero.alias("kind"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"))
+        to = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+        upto = lambda c: F.when(F.col(c) > 0, F.sequence(zero, F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+        split = known.where("eb > 0").withColumn("own", F.pmod(F.xxhash64(*names), F.when(F.col("probe"), F.col("pb")).otherwise(F.col("eb"))).cast("int"))
+        of_entry = F.concat(F.transform(upto("eb"), lambda x: to(F.least(x, "own"), F.greatest(x, "own"), 0)), F.transform(upto("pb"), lambda x: to(F.col("own"), x, 1)))
+        of_probe = F.transform(upto("eb"), lambda x: to(x, F.col("own"), 1))
+        split = split.withColumn("to", F.explode(F.when(F.col("probe"), of_probe).otherwise(of_entry))).select(*columns, "to.i", "to.j", "own", "to.kind")
+        spread = plain.unionByName(split.withColumn("g", F.xxhash64("key", "i", "j", "kind")))
+
+    def run(t: pa.Table) -> pa.Table:
+        c = {x: t.column(x).to_numpy() for x in t.column_names}
+        c["probe"] = c["probe"].astype(bool)
+        c["fp"] = c["fp"].view(np.uint64)
+        c["gkey"] = c["key"] * 1_000_003 ^ (c["i"].astype(np.int64) << 21) ^ (c["j"].astype(np.int64) << 1) ^ c["kind"]  # only to tell apart what else shares a group
+        c["left"], c["right"] = np.where(c["kind"] == 1, ~c["probe"], c["own"] == c["i"]), np.where(c["kind"] == 1, c["probe"], c["own"] == c["j"])
+        return check(c)
+
+    return spread.groupBy("g").applyInArrow(run, schema)
+
+
+def links(distinct: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (column fp) that keep their components: enough pairs at ``bits`` or fewer differing bits, and none else."""
+    ship(distinct.sparkSession)
+    plan, n = plan_for(distinct, bits)
+
+    def check(c: dict[str, np.ndarray]) -> pa.Table:
+        u, v = verify(c["gkey"], c["fp"], c["probe"], c["left"], c["right"], bits)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return spread.groupBy("g").applyInArrow(check, "u long, v long")
+    return meet(distinct.select("fp"), plan, n, check, "u long, v long", hot)
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 4) -> DataFrame:
     """key, fp and component_id (the smallest key among all that links reach, itself included) of every row.
 
     Copies share a fingerprint and so a component; rows with a null key count, but never name a component unless all its
-    keys are null.  An empty table gives an empty one.
+    keys are null.  Texts of any length are read whole, and repeated rows stay.  Other columns, whatever their names, play no
+    part.  An empty table gives an empty one.
     """
     fps = cut(fingerprints(docs, key, text, shingle))
     distinct = cut(fps.groupBy("fp").agg(F.min(key).alias("least")))

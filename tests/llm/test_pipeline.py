@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lotwise.llm import quality, simhash
+from lotwise.llm import near, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,7 +37,7 @@ def test_stages(stages):
     full = [line for r in after.collect() for line in r.text.split("\n") if len(line) >= 20]
     assert len(full) == len(set(full))
     before, after = stages["near_dedup"]
-    groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(before, bits=corpus_pipeline.NEAR_BITS).collect()}
+    groups = {r.doc_id: r.component_id for r in near.near_groups(before).collect()}
     assert sorted(r.doc_id for r in after.collect()) == sorted(set(groups.values()))
     before, after = stages["source_mix"]
     assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()}
