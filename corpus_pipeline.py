@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from lotwise.llm import bpe, lines, mixing, near, quality
 from lotwise.llm.common import count_words, number_rows, store, table
 
-#: What tests compare near_dedup with on a corpus whose near-copies are all as near: fingerprints at most this many of 64 bits apart.
-NEAR_BITS = 6
-
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -44,7 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies (five-word shingles, Jaccard similarity of 0.8 or more) the document of the smallest id stays."""
+    """Of each group of near-copies the document of the smallest id stays: SimHash candidates, linked at a Jaccard similarity of 0.8 or more of their five-word shingles."""
     numbered = _numbered(docs)
     keyed = numbered.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("key"), "text")
     groups = near.near_groups(keyed, key="key", shingle=5)
