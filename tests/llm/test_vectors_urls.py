@@ -10,12 +10,12 @@ from lotwise.llm import topk, urls
 
 
 def brute(rows, k=5, every=50):
-    good = {(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    """Every row is a candidate, repeated ones too; a query's own repeated rows are one."""
+    good = sorted((i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v))
     out = []
-    for q, a in sorted(good):
-        if q % every == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(b) == len(a))[:k]
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
+    for q in sorted({i for i, _ in good if i % every == 0}):
+        found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for a in {v for i, v in good if i == q} for i, b in good if i != q and len(b) == len(a))[:k]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
     return sorted(out)
 
 
@@ -24,7 +24,8 @@ def test_top_k(spark, shard, block):
     r = random.Random(shard)
     rows = [(i, [r.choice([r.gauss(0, 1), 0.5]) for _ in range(6)]) for i in range(400)]
     rows += [(i, [0.25] * 6) for i in range(400, 460)]  # ties
-    rows += [(500, None), (501, [None] * 6), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [9.0] * 6), rows[0], rows[50]]
+    rows += [(500, None), (501, [None] * 6), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [9.0] * 6), (504, []), rows[0], rows[50], rows[7], rows[7], rows[7]]
+    rows += [(420, [0.25] * 6)] * 9 + [(150, [0.1] * 6)]  # repeated, and a key of two vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     as_float = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     assert sorted(map(tuple, topk.top_k(df, shard=shard, block=block).collect())) == brute(as_float)
@@ -37,6 +38,21 @@ def test_top_k_small(spark):
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
 
 
+def test_a_hot_vector_keeps_its_smallest_keys(spark):
+    """Half of all rows are one vector, and the best of all: ties go to the smallest keys, repeats count."""
+    rows = [(i, [4.0, 4.0]) for i in range(1000, 1400)] + [(1001, [4.0, 4.0])] * 3 + [(i, [0.01 * (i % 90), 0.5]) for i in range(400)]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard=40, block=2).collect()))
+    assert got == brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
+
+
+def test_cells_are_those_of_the_leaves():
+    r = np.random.default_rng(5)
+    points = np.floor(r.normal(size=(900, 4)) * 5)
+    tree = topk.build(points, 60)
+    cells = topk.cell_of(tree, points)
+    assert (tree["left"][cells] < 0).all() and np.bincount(cells).max() < 200
+
+
 def test_tree_prunes_and_stays_exact():
     r = np.random.default_rng(1)
     points = np.floor(r.normal(size=(3000, 3)) * 256)
