@@ -20,7 +20,11 @@ number and its text.
 3.  Components of linked lines are classes.  The first line of a class, in order
     of the documents' keys, stays; all others go.
 
-Keys of very many lines are split into blocks, each pair of blocks a group.
+Keys of very many entries or probes are split into blocks, each pair of blocks a group;
+probes of such a key without entries end there.  How many probes a key has is
+told from one line in ``SAMPLED``; it decides groups only, never results.
+
+Copies are told by 128 bits of hashes, lines of the join by 64 and then by their texts.
 """
 
 from __future__ import annotations
@@ -38,8 +42,10 @@ from .common import OUT_BYTES, cut, number_rows
 from .components import components, merge_labels, pairs_by_key
 
 MIN_CHARS, NEAR_CHARS, LONG, MOST = 1, 20, 40, 2
-#: Index entries of a key that is not split, and rows of a group, about.
-HOT, GROUP_ROWS = 1024, 65_536
+#: Index entries and probes of a key that is not split, and rows of a group, about.
+HOT, HOT_PROBES, GROUP_ROWS = 1024, 4096, 65_536
+#: Probes are counted of one line in so many.
+SAMPLED = 64
 #: Keys of a group of the first sieve, about.
 SIFT_ROWS = 250_000
 PAIRS = 1 << 18
@@ -181,10 +187,10 @@ def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]
         yield i, [x or "" for x in batch.column(column).slice(i, step).to_pylist()]
 
 
-def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
+def link_lines(texts: DataFrame, entries: DataFrame, probed: DataFrame) -> DataFrame:
     """Links (u, v: hashes of lines) between near-duplicate distinct lines of column t, enough to keep their classes whole.
 
-    entries: the index entries (key) of all lines; which keys are split is read from them.
+    entries: the index entries (key) of all lines, probed: the probes (key) of one line in SAMPLED; which keys are split is read from them.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,15 +222,21 @@ def link_lines(texts: DataFrame, entries: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in arrays], names=["key", "h", "meta"])
 
     signed = texts.select("t").mapInArrow(sign, "key long, h long, meta long")
-    crowded = cut(entries.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("key").alias("hot_key"), F.ceil(F.col("rows") / HOT).cast("int").alias("blocks")))
+    sizes = entries.select("key", F.lit(1).alias("e"), F.lit(0).alias("p")).unionByName(probed.select("key", F.lit(0).alias("e"), F.lit(SAMPLED).alias("p"))).groupBy("key").agg(F.sum("e").alias("e"), F.sum("p").alias("p"))
+    crowded = cut(sizes.where((F.col("e") > HOT) | (F.col("p") > HOT_PROBES)).select(F.col("key").alias("hot_key"), F.ceil(F.col("e") / HOT).cast("int").alias("eb"), F.greatest(F.lit(1), F.ceil(F.col("p") / HOT_PROBES)).cast("int").alias("pb")))
     groups = max(12, entries.count() * 4 // SIFT_ROWS)  # a line has about four keys for each index entry
     plain, hot = signed, None
     if crowded.limit(1).count():
         both = signed.join(crowded, F.col("key") == F.col("hot_key"), "left")
-        plain = both.where("blocks is null").select("key", "h", "meta")
-        hot = both.where("blocks is not null").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-        hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        hot = hot.select("key", "h", "meta", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        plain = both.where("eb is null").select("key", "h", "meta")
+        # blocks of entries meet each other (j >= 0), and blocks of probes (j < 0)
+        probe = F.col("meta").bitwiseAND(1) == 1
+        hot = both.where("eb > 0").withColumn("own", F.pmod(F.xxhash64("h"), F.when(probe, F.col("pb")).otherwise(F.col("eb"))).cast("int"))
+        upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+        to = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+        of_entry = F.concat(F.transform(upto("eb"), lambda x: to(F.least(x, "own"), F.greatest(x, "own"))), F.transform(upto("pb"), lambda x: to(F.col("own"), -x - 1)))
+        of_probe = F.transform(upto("eb"), lambda x: to(x, -F.col("own") - 1))
+        hot = hot.withColumn("to", F.explode(F.when(probe, of_probe).otherwise(of_entry))).select("key", "h", "meta", "to.i", "to.j")
 
     def sift(t: pa.Table) -> pa.Table:
         key, h, meta = (t.column(c).to_numpy() for c in ("key", "h", "meta"))
@@ -312,7 +324,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     """``keep`` columns (default: the key; those named like the following are left out) of every row, with n_lines, n_exact and n_near (lines removed as copies and as near-copies) and the text left.
 
     Lines stand between newlines; blank ones under NEAR_CHARS characters stay.  The first line of a class stays: by key (null last),
-    then by row, then within the text.  docs are read more than once: they come from files or a checkpoint.  A text loses its removed lines with the newlines that end them.  Null text: null, no lines.
+    then by row, then within the text; repeated rows are copies of each other.  An empty table gives an empty one.  docs are read more than once: they come from files or a checkpoint.  A text loses its removed lines with the newlines that end them.  Null text: null, no lines.
     """
     ship(docs.sparkSession)
     kept = [n for n in ([key] if keep is None else keep) if n not in {text, "n_lines", "n_exact", "n_near"}]
@@ -324,7 +336,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
         keys, seen = Keys(), set()
         for batch in batches:
             for i, part in _pieces(batch, "t"):
-                of, no, hashes, entries, count = [], [], [], [], []
+                of, no, hashes, more, entries, count, probes, asked = [], [], [], [], [], [], [], []
                 for x, text in enumerate(part):
                     for z, line in enumerate(text.split("\n")):
                         if takes_part(line):
@@ -332,26 +344,37 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
                             of.append(i + x)
                             no.append(z)
                             hashes.append(h)
-                            own = [] if h in seen else keys.of(line, index_only=True)[0]
+                            more.append(xxhash.xxh64_intdigest(line.encode(), 7))
+                            own, rest = [], []
+                            if h not in seen:
+                                own = keys.of(line, index_only=True)[0]
+                                if h % SAMPLED == 0:
+                                    rest = [key for key, probe in zip(*keys.of(line), strict=True) if probe]
                             entries += own
                             count.append(len(own))
+                            probes += rest
+                            asked.append(len(rest))
                             seen.add(h)
                 if len(seen) > 1 << 20:
                     seen.clear()
                 at = pa.array(of, pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(np.array(entries, np.uint64).view(np.int64)))
-                columns = [batch.column("k").take(at), batch.column("row").take(at), pa.array(no, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "row", "no", "h", "entries"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(c)).astype(np.int32)), pa.array(np.array(x, np.uint64).view(np.int64))) for x, c in ((entries, count), (probes, asked))]
+                longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hashes, more)]
+                columns = [batch.column("k").take(at), batch.column("row").take(at), pa.array(no, pa.int32()), *longs, *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "row", "no", "h", "more", "entries", "probes"])
 
-    lines = cut(texts.mapInArrow(find, f"k {kind}, row long, no int, h long, entries array<bigint>"))
+    lines = cut(texts.mapInArrow(find, f"k {kind}, row long, no int, h long, more long, entries array<bigint>, probes array<bigint>"))
     place = F.struct(F.col("k").isNull().alias("z"), "k", "row", "no")
-    distinct = cut(lines.groupBy("h").agg(F.min(place).alias("first")))
-    roots = components(link_lines(texts, lines.select(F.explode("entries").alias("key"))))
-    rooted = distinct.join(roots, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("root", "h").alias("root"))
+    distinct = cut(lines.groupBy("h", "more").agg(F.min(place).alias("first")))
+    roots = components(link_lines(texts, lines.select(F.explode("entries").alias("key")), lines.select(F.explode("probes").alias("key"))))
+    # a line without links is a class of its own by all its bits
+    alone = F.when(F.col("node").isNull() & ~F.col("is_root"), F.col("more"))
+    rooted = distinct.join(roots, F.col("h") == F.col("node"), "left").join(roots.select(F.col("root").alias("r")).distinct(), F.col("h") == F.col("r"), "left").withColumn("is_root", F.col("r").isNotNull())
+    rooted = rooted.select("h", "more", "first", F.struct(F.coalesce("root", "h").alias("root"), F.coalesce(alone, F.lit(0)).alias("alone")).alias("root"))
     classes = cut(rooted.groupBy("root").agg(F.min("first").alias("best")))
     # of each line: the first place of its own text, and of its class
-    known = rooted.join(classes.withColumnRenamed("root", "root2"), F.col("root") == F.col("root2")).select(F.col("h").alias("h2"), "first", "best")
-    gone = lines.drop("entries").join(known, F.col("h") == F.col("h2")).where(place != F.col("best")).select("row", "no", (place == F.col("first")).alias("near"))
+    known = rooted.join(classes.withColumnRenamed("root", "root2"), F.col("root") == F.col("root2")).select(F.col("h").alias("h2"), F.col("more").alias("more2"), "first", "best")
+    gone = lines.drop("entries", "probes").join(known, (F.col("h") == F.col("h2")) & (F.col("more") == F.col("more2"))).where(place != F.col("best")).select("row", "no", (place == F.col("first")).alias("near"))
     listed = gone.groupBy("row").agg(F.collect_list(F.struct("no", "near")).alias("gone")).withColumnRenamed("row", "row2")
     out = base.join(listed.hint("shuffle_hash"), F.col("row") == F.col("row2"), "left")
     # both arrays are columns of their own: inside a lambda they would be made anew for each element

@@ -14,3 +14,21 @@ def test_copies_of_short_lines_go(spark, tmp_path):
         3: (None, 0, 0, 0),
         4: ("a line of twenty and more characters\nHome ", 3, 1, 0),
     }
+
+
+def test_keys_of_probes_alone_are_split(spark, tmp_path, monkeypatch):
+    """Many lines with one head: keys that hardly an entry has, and very many probe.  No group holds them all, and nothing is lost."""
+    import random
+
+    r = random.Random(3)
+    head = "the same beginning of all these lines, some dozens of characters of it "
+    texts = [(i, "\n".join(head + "".join(r.choice("abcdefghij") for _ in range(r.randint(30, 60))) for _ in range(20))) for i in range(30)]
+    last = texts[-1][1].split("\n")[0]
+    texts.append((99, last + "x\n" + last[:-1] + "\n" + last))
+    path = str(tmp_path / "d")
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(2).write.parquet(path)
+    want = {x.doc_id: x.text for x in lines.dedup_lines(spark.read.parquet(path)).collect()}
+    assert want[99] == ""
+    for name, value in (("HOT", 4), ("HOT_PROBES", 8), ("SAMPLED", 1)):
+        monkeypatch.setattr(lines, name, value)
+    assert {x.doc_id: x.text for x in lines.dedup_lines(spark.read.parquet(path)).collect()} == want
