@@ -1,12 +1,12 @@
 """Operator 2: quality rules as weak supervision, in DataFrame functions only.
 
 Base features of each whole text are computed in place by array functions (no
-row is exploded, nothing is shuffled).  Each rule then votes good (+1), bad
-(-1) or abstains (0).  Rules are taken to err independently given the unknown
+row is exploded, nothing is shuffled).  Each rule looks at one feature and votes good (+1) where it is as in
+prose, bad (-1) where it is far from that, and abstains (0) between.  Rules are taken to err independently given the unknown
 quality; expectation-maximisation over the table of vote patterns (at most 3^R
-rows, whatever the corpus) estimates the share of good documents and each
-rule's rates, and a document is kept if its posterior probability of being good
-reaches a threshold.
+rows, whatever the corpus) estimates the share of good documents and how often each
+rule votes which way on good and on bad ones, among documents that do not fail already.  A document is kept if its posterior probability of being good
+reaches a threshold: one bad vote of a rule that errs does not reject it.
 """
 
 from __future__ import annotations
@@ -22,17 +22,27 @@ from .common import cut, words
 SYMBOLS = "[#*$%&|<>]"
 #: Up to so many repeated windows are looked up in a list; more are found by sorting.
 FEW = 32
-#: Columns that base_features adds.
+#: Columns that base_features adds, first those of the base rules.
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MORE = ("n_lines", "n_function_words", "n_sentence_ends")
+#: The commonest function words of English, German, French and Spanish.
+FUNCTION_WORDS = (
+    "the of and to in is that for it as with on by this are or be an at from "
+    "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als "
+    "le la les et de un une du que est pour dans qui par sur en il au ce pas "
+    "el los y las por con una para del se al su lo como más"
+).split()
+#: Fixed value: what ends a sentence, before a separator or at the text's end.
+SENTENCE_END = r"[.!?](?=[\x20\x09-\x0D]|\z)"
 
 
 def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (long).
+    """All rows and columns, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the columns of MORE (long).
 
     Null text counts as empty.  Columns of those names are
     replaced.  Windows of three words are compared by 64-bit hashes.
     """
-    row = [F.col(f"`{n}`") for n in docs.columns if n not in {*FEATURES, "n_lines"}]
+    row = [F.col(f"`{n}`") for n in docs.columns if n not in {*FEATURES, *MORE}]
     # the caller's columns travel in one struct, so that no name of theirs meets one used here
     df = docs.select(F.struct(*row).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t")).withColumn("_w", words("_t"))
     c = F.col("_t")
@@ -59,6 +69,7 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     p = F.col("_p")
     covered = F.aggregate(F.transform(p, lambda x, k: F.when(k == 0, 3).otherwise(F.least(F.lit(3), x - p[F.greatest(k - 1, F.lit(0))]))), F.lit(0).cast("long"), lambda a, x: a + x)
     df = df.withColumn("_l", F.filter(F.split(c, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0))
+    common = sorted({*FUNCTION_WORDS, *(x.capitalize() for x in FUNCTION_WORDS)})
     return df.select(
         "_row.*",
         F.size(w).cast("long").alias("n_words"),
@@ -67,12 +78,14 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
+        F.size(F.filter(w, lambda x: x.isin(*common))).cast("long").alias("n_function_words"),
+        F.regexp_count(c, F.lit(SENTENCE_END)).cast("long").alias("n_sentence_ends"),
     )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes good where ``good`` holds, else bad where ``bad`` holds, else abstains; conditions in SQL over the features (and ``n_lines``).
+    """Votes good where ``good`` holds, else bad where ``bad`` holds, else abstains; conditions in SQL over the features.
 
     right: its first guess of how often a vote of it is right.
     """
@@ -80,18 +93,17 @@ class Rule:
     name: str
     good: str
     bad: str
-    right: float = 0.9
+    right: float = 0.8
 
 
-#: Thresholds are the usual ones for web text.  A rule that looks for one fault abstains where it finds none: most bad texts have one fault only,
-#: and silence about the others says little.
+#: Bad votes are the usual thresholds for web text or wider; good ones leave a distance to them.
 RULES = (
-    Rule("prose", "n_words >= 50 and n_symbols * 10 <= n_words and word_chars between 2.5 * n_words and 11 * n_words", "false"),
-    Rule("length", "false", "n_words < 50"),
-    Rule("word_length", "false", "word_chars < 2.5 * n_words or word_chars > 11 * n_words"),
-    Rule("symbols", "false", "n_symbols * 10 > n_words"),
-    Rule("repeated_lines", "false", "n_dup_lines * 10 > n_lines * 3"),
-    Rule("repeated_words", "false", "n_repeat_words * 10 > n_words * 3"),
+    Rule("symbols", "n_symbols * 50 <= n_words", "n_symbols * 10 > n_words"),
+    Rule("word_length", "word_chars between 4.4 * n_words and 6.5 * n_words", "word_chars < 3 * n_words or word_chars > 7 * n_words"),
+    Rule("function_words", "n_function_words * 100 >= 15 * n_words", "n_function_words * 100 < 10 * n_words"),
+    Rule("sentences", "n_sentence_ends * 100 between 5 * n_words and 20 * n_words", "n_sentence_ends * 1000 < 25 * n_words or n_sentence_ends * 3 > n_words"),
+    Rule("repeated_words", "n_repeat_words * 20 <= n_words", "n_repeat_words * 5 > n_words"),
+    Rule("repeated_lines", "n_lines >= 3 and n_dup_lines = 0", "n_dup_lines * 10 > n_lines * 3"),
 )
 
 
@@ -126,7 +138,7 @@ def first_guess(rule: Rule) -> tuple[tuple[float, float, float], tuple[float, fl
     return tuple(tuple(max(x, 1e-3) for x in (*p, 1 - sum(p))) for p in (of_good, of_bad))
 
 
-def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 20, share: float = 0.8) -> Model:
+def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 30, share: float = 0.8) -> Model:
     """Expectation-maximisation on the votes (columns vote_<rule>) of all rows; one small aggregate of the pattern table a round.
 
     Rates keep away from 0 and 1 by half a vote; without rows the first guess stays.
@@ -159,13 +171,14 @@ def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None, r
     """``carry`` columns (all but the text if not given; keep them few, they are written once), the base features, base_failed, the votes, p_good and kept, of every row.
 
     base_failed: fewer than 50 words, or over half of them in repeated three-word windows.  kept: not base_failed and p_good at
-    or over ``threshold``.  Empty and null texts fail; an empty table gives an empty one.
+    or over ``threshold``; the model is fitted on rows that do not fail.  Empty and null texts fail; repeated rows count each;
+    texts of any length are read whole; columns named like those made here are replaced; an empty table gives an empty one.
     """
-    made = {*FEATURES, "n_lines", "base_failed", "p_good", "kept", *(f"vote_{r.name}" for r in rules)}
+    made = {*FEATURES, *MORE, "base_failed", "p_good", "kept", *(f"vote_{r.name}" for r in rules)}
     carried = [n for n in (docs.columns if carry is None else carry) if n not in made and (carry or n != text)]
     feats = base_features(docs.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*carried, text])]), text)
-    feats = feats.select(*[F.col(f"`{n}`") for n in carried], *FEATURES, "n_lines")
-    voted = cut(feats.select("*", *[vote(r).alias(f"vote_{r.name}") for r in rules]))
-    model = fit(voted, rules)
+    feats = feats.select(*[F.col(f"`{n}`") for n in carried], *FEATURES, *MORE)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return voted.withColumn("base_failed", failed).withColumn("p_good", posterior(rules, model)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    voted = cut(feats.select("*", failed.alias("base_failed"), *[vote(r).alias(f"vote_{r.name}") for r in rules]))
+    model = fit(voted.where("not base_failed"), rules)
+    return voted.withColumn("p_good", posterior(rules, model)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))

@@ -137,6 +137,67 @@ def test_quality_features(docs, corpus, few, monkeypatch):
     assert sum(r.kept for r in rows.values()) >= 40
 
 
+def more_features(text):
+    w = words(text or "")
+    known = {*quality.FUNCTION_WORDS, *(x.capitalize() for x in quality.FUNCTION_WORDS)}
+    return {"n_lines": sum(bool(WORD.search(x)) for x in (text or "").split("\n")), "n_function_words": sum(x in known for x in w), "n_sentence_ends": sum(x[-1] in ".!?" for x in w)}
+
+
+def brute_posteriors(rows, rules, rounds=30, share=0.8):
+    """Expectation-maximisation row by row; rows: features."""
+    votes = []
+    for f in rows:
+        said = {k: eval(re.sub(r"(\S+) between (.+?) and (.+)", r"\2 <= \1 <= \3", cond).replace(" = ", " == "), {}, f) for r in rules for k, cond in ((f"{r.name}+", r.good), (f"{r.name}-", r.bad))}
+        votes.append([1 if said[f"{r.name}+"] else -1 if said[f"{r.name}-"] else 0 for r in rules])
+    good = [{v: quality.first_guess(r)[0][i] for i, v in enumerate((1, -1, 0))} for r in rules]
+    bad = [{v: quality.first_guess(r)[1][i] for i, v in enumerate((1, -1, 0))} for r in rules]
+
+    def posterior(v):
+        a, b = share, 1 - share
+        for i, x in enumerate(v):
+            a, b = a * good[i][x], b * bad[i][x]
+        return a / (a + b)
+
+    for _ in range(rounds):
+        p = [posterior(v) for v in votes]
+        a, n = sum(p), len(p)
+        share = (a + 0.5) / (n + 1)
+        for i in range(len(rules)):
+            for x in (1, -1, 0):
+                hit = sum(q for q, v in zip(p, votes) if v[i] == x)
+                good[i][x], bad[i][x] = (hit + 0.5) / (a + 1.5), (sum(v[i] == x for v in votes) - hit + 0.5) / (n - a + 1.5)
+    return [posterior(v) for v in votes]
+
+
+def test_verdict_is_that_of_em_row_by_row(spark, tmp_path):
+    r = random.Random(9)
+    noun = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 9)))
+
+    def text(kind):
+        out = []
+        for _ in range(r.randint(60, 200)):
+            w = r.choice(quality.FUNCTION_WORDS) if r.random() < (0.35 if kind < 8 else 0.05) else noun()
+            w += "***" if kind == 9 and r.random() < 0.8 else ""
+            out.append(w + ("." if r.random() < 0.09 else "") + ("\n" if r.random() < 0.05 else ""))
+        return " ".join(out) + (" buy now cheap" * 20 if kind == 1 else "")
+
+    texts = [(i, text(i % 10)) for i in range(120)] + [(200, ""), (201, None), (202, "too short")]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(path)
+    got = {x.doc_id: x for x in quality.judge(spark.read.parquet(path), carry=["doc_id"]).collect()}
+    rows = {i: dict(zip(quality.FEATURES, (f := features(t))), **more_features(t)) | {"failed": f[0] < 50 or 100 * f[4] > 50 * f[0]} for i, t in texts}
+    assert all(got[i][c] == rows[i][c] for i in rows for c in quality.MORE)
+    fine = [i for i in rows if not rows[i]["failed"]]
+    p = dict(zip(fine, brute_posteriors([rows[i] for i in fine], quality.RULES)))
+    for i, x in got.items():
+        assert x.base_failed == rows[i]["failed"] and x.kept == (not x.base_failed and p[i] >= 0.5)
+        assert i not in p or x.p_good == pytest.approx(p[i], abs=2e-3)
+    kept = [got[i].kept for i in fine]
+    votes = {v.name: [got[i][f"vote_{v.name}"] for i in fine] for v in quality.RULES}
+    assert 0 < sum(kept) < len(kept) and all([x == 1 for x in v] != kept for v in votes.values())
+    assert [all(x >= 0 for x in v) for v in zip(*votes.values())] != kept  # not all must pass
+
+
 def test_em_finds_accuracies(spark):
     """Votes drawn from a known model: estimates and posteriors come close to it."""
     r = random.Random(2)
