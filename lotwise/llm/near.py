@@ -1,22 +1,21 @@
 """Near-copies of documents: operator 1's fingerprints at a wider radius, and then the Jaccard similarity of the sets of word shingles themselves.
 
-1.  Texts become sets of shingle hashes, and sets two SimHash fingerprints of 64
+1.  Texts become sets of shingle hashes, and sets ``WORDS`` SimHash fingerprints of 64
     bits each; texts of one set are one node.
-2.  Nodes of which the first fingerprints differ in few bits (``TIGHT``) meet by the
-    generalised pigeonhole principle.  Each group answers with the minimum spanning forest of its candidates, by
-    bits of both fingerprints, and the forest's pairs are verified.  This links
-    the bulk of a cluster without its pairs.
-3.  Nodes at up to ``BITS`` bits meet again; the candidates now are all pairs that
-    are not linked yet, but for those whose sizes or whose two fingerprints
-    together rule the similarity out.
-4.  Sets of the pairs to be verified are fetched.  Each has a sketch: the parities of its
-    shingles by hash, 2 to 4 bits a shingle; bits in which two sketches differ are
-    no more than shingles in which the sets do, so pairs with too many go.  Of
-    the rest intersections are counted.
+2.  Nodes of which the first fingerprints differ in few bits meet by the
+    generalised pigeonhole principle; pairs whose sizes or whose fingerprints together
+    rule the similarity out are left.  In the first ``ROUNDS`` each group answers with the minimum spanning
+    forest of its candidates, by bits of all fingerprints, and the forest's pairs
+    are verified.  This links the bulk of a cluster without its pairs.
+3.  Nodes that still have candidates of another cluster meet again, each with a
+    sketch of its set: the parities of its shingles by hash, 2 to 4 bits a shingle.
+    Bits in which two sketches differ are no more than shingles in which the sets
+    do, so only pairs that can have the similarity leave the groups.
+4.  Sets of the pairs to be verified are fetched and their intersections counted.
 
 Every link has the similarity.  At a similarity s fingerprints differ in each bit
-with a chance of acos(2 s / (1 + s)) / pi, so step 3 misses some pairs near
-the least s; a cluster is lost only with all of a document's pairs.
+with a chance of acos(2 s / (1 + s)) / pi, so some pairs near the least s
+never meet; a document is lost to its cluster only with all of its pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +35,11 @@ from .simhash import HOT, close_pairs, meet, plan_for
 
 #: Fixed value: the similarity that makes near-copies, as a fraction.
 NUM, DEN = 4, 5
-#: Differing bits of the first fingerprints, and of both together, in steps 2 and 3.
-TIGHT, TIGHT_BOTH, BITS, BOTH = 8, 22, 13, 29
+#: Fingerprints of a set, and differing bits of all together.
+WORDS, ALL = 4, 50
+#: Differing bits of the first fingerprints in each round of forests; the last also holds for what is left.
+ROUNDS = (8, 13)
+FPS = ("fp", *(f"fp{i}" for i in range(2, WORDS + 1)))
 #: Candidates of a group that are thinned to a forest at once.
 FOREST = 1 << 20
 #: The filter that picks the sets to fetch has so many words of 64 bits (8 MB), whatever the corpus; what passes it wrongly is dropped by the join.
@@ -63,13 +65,16 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 7)
 
 
-def two_fingerprints(s: np.ndarray) -> np.ndarray:
-    """Majority of the bits of the hashes, and of the hashes mixed."""
-    mixed = (s ^ (s >> np.uint64(31))) * MIX
-    both = np.stack([s, mixed ^ (mixed >> np.uint64(29))], axis=1)
-    total = np.zeros(128, np.int64)
+def some_fingerprints(s: np.ndarray) -> np.ndarray:
+    """Majority of the bits of the hashes, and of the hashes mixed once and more often."""
+    words = [s]
+    while len(words) < WORDS:
+        x = (words[-1] ^ (words[-1] >> np.uint64(31))) * MIX
+        words.append(x ^ (x >> np.uint64(29)))
+    every = np.stack(words, axis=1)
+    total = np.zeros(64 * WORDS, np.int64)
     for i in range(0, len(s), 255):  # so many fit a byte
-        total += np.unpackbits(both[i : i + 255].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+        total += np.unpackbits(every[i : i + 255].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return np.packbits(total * 2 > len(s), bitorder="little").view(np.uint64)
 
 
@@ -119,36 +124,64 @@ def forest(u: np.ndarray, v: np.ndarray, cost: np.ndarray, nodes: int) -> np.nda
     return np.concatenate([np.empty(0, np.int64), *taken]).astype(np.int64)
 
 
-def candidates(nodes: DataFrame, bits: int, both: int, trees: bool, hot: int = HOT) -> DataFrame:
-    """Pairs (u, v: sid) of nodes (sid, fp, fp2, n, label) of different labels; trees: of each group a minimum spanning forest only."""
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least differences of sketches, pair by pair."""
+    out = np.zeros(len(a), np.int64)
+    x, y = (np.fromiter(map(len, z), np.int64, len(z)) for z in (a, b))
+    for size in np.unique(x[x == y]).tolist():
+        own = np.flatnonzero((x == size) & (y == size))
+        for i in range(0, len(own), 1 << 14):
+            part = own[i : i + (1 << 14)]
+            p, q = (np.frombuffer(b"".join(z[part].tolist()), np.uint8).reshape(-1, size) for z in (a, b))
+            out[part] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+    for i in np.flatnonzero(x != y).tolist():
+        out[i] = least_difference(a[i], b[i])
+    return out
+
+
+def candidates(nodes: DataFrame, bits: int, kind: str, hot: int = HOT) -> DataFrame:
+    """Of the candidates among nodes (sid, fp, fp2, ..., n, label) of different labels, by kind: pairs (u, v: sid) of each group's minimum
+    spanning forest ("forest"), all nodes that have one ("nodes": sid), or all pairs whose sketches (k) allow the similarity ("pairs")."""
     plan, n = plan_for(nodes, bits)
 
     def check(c: dict[str, np.ndarray]) -> pa.Table:
         order = np.lexsort((c["probe"], c["gkey"]))
         c = {k: x[order] for k, x in c.items()}
-        fp2, size, label = c["fp2"].view(np.uint64), c["n"], c["label"]
+        more, size, label = [c[x].view(np.uint64) for x in FPS[1:]], c["n"], c["label"]
         ids, at = np.unique(c["sid"], return_inverse=True)
-        found = np.empty((3, 0), np.int64)
-        parts = [found]
+        parts, has = [np.empty((3, 0), np.int64)], np.zeros(len(ids), bool)
         for a, b in close_pairs(c["gkey"], c["fp"], c["probe"], c["left"], c["right"], bits):
-            d = np.bitwise_count(c["fp"][a] ^ c["fp"][b]).astype(np.int64) + np.bitwise_count(fp2[a] ^ fp2[b])
-            keep = (d <= both) & (label[a] != label[b]) & (DEN * np.minimum(size[a], size[b]) >= NUM * np.maximum(size[a], size[b]))
-            parts.append(np.stack([at[a[keep]], at[b[keep]], d[keep]]))
-            if sum(p.shape[1] for p in parts) > FOREST and trees:
+            keep = (label[a] != label[b]) & (DEN * np.minimum(size[a], size[b]) >= NUM * np.maximum(size[a], size[b]))
+            a, b = a[keep], b[keep]
+            d = np.bitwise_count(c["fp"][a] ^ c["fp"][b]).astype(np.int64)
+            for x in more:
+                d += np.bitwise_count(x[a] ^ x[b])
+            keep = d <= ALL
+            a, b, d = a[keep], b[keep], d[keep]
+            if kind == "nodes":
+                has[at[a]] = has[at[b]] = True
+                continue
+            if kind == "pairs":
+                keep = _apart(c["k"][a], c["k"][b]) * (NUM + DEN) <= (DEN - NUM) * (size[a] + size[b])
+                a, b, d = a[keep], b[keep], d[keep]
+            parts.append(np.stack([at[a], at[b], d]))
+            if kind == "forest" and sum(p.shape[1] for p in parts) > FOREST:
                 found = np.concatenate(parts, axis=1)
                 parts = [found[:, forest(*found, len(ids))]]
+        if kind == "nodes":
+            return pa.table({"sid": ids[has]})
         found = np.concatenate(parts, axis=1)
-        found = found[:, forest(*found, len(ids))] if trees else found
+        found = found[:, forest(*found, len(ids))] if kind == "forest" else found
         pairs = np.unique(np.stack([np.minimum(found[0], found[1]), np.maximum(found[0], found[1])], axis=1), axis=0)
         return pa.table({"u": ids[pairs[:, 0]], "v": ids[pairs[:, 1]]})
 
-    return meet(nodes.select("sid", "fp", "fp2", "n", "label"), plan, n, check, "u long, v long", hot).distinct()
+    columns = ["sid", *FPS, "n", "label"] + ["k"] * (kind == "pairs")
+    return cut(meet(nodes.select(*columns), plan, n, check, "sid long" if kind == "nodes" else "u long, v long", hot).distinct())
 
 
-def similar_pairs(pairs: DataFrame, named: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Those of the pairs (u, v) of sets that have the similarity.  texts: row, t; named: row and sid of one text of each set."""
+def fetch_sets(wanted: DataFrame, named: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """sid, sketch k and set s of the wanted sid.  texts: row, t; named: row and sid of one text of each set."""
     sc = texts.sparkSession.sparkContext
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
     rows = named.join(wanted.withColumnRenamed("sid", "sid2"), F.col("sid") == F.col("sid2")).select("row")
     mixed = rows.select(F.xxhash64("row").alias("h"))
     marks = mixed.groupBy(F.col("h").bitwiseAND(FILTER_WORDS - 1).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))")).alias("m")).toArrow()  # at most FILTER_WORDS rows
@@ -162,36 +195,25 @@ def similar_pairs(pairs: DataFrame, named: DataFrame, texts: DataFrame, shingle:
             h = batch.column(1).to_numpy().view(np.uint64)
             hit = table[h & np.uint64(FILTER_WORDS - 1)] >> (h >> np.uint64(40) & np.uint64(63)) & np.uint64(1) == 1
             for part in _pieces(iter([batch.filter(pa.array(hit))])):
-                ids, sizes, sketches, sets = [], [], [], []
+                ids, sketches, sets = [], [], []
                 for t in text_bytes(part.column(0)):
                     s = shingle_set(t, shingle)
                     sid = set_id(s)
                     if sid not in seen:
                         seen.add(sid)
                         ids.append(sid)
-                        sizes.append(len(s))
                         sketches.append(sketch(s))
                         sets.append(s.tobytes())
                 if len(seen) > 1 << 20:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "n", "k", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "k", "s"])
 
-    sets = texts.select("t", F.xxhash64("row").alias("h")).mapInArrow(fetch, "sid long, n long, k binary, s binary").dropDuplicates(["sid"])
-    sets = cut(sets.join(wanted, "sid", "left_semi"))
+    sets = texts.select("t", F.xxhash64("row").alias("h")).mapInArrow(fetch, "sid long, k binary, s binary").dropDuplicates(["sid"])
+    return cut(sets.join(wanted, "sid", "left_semi"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, a, b = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            good = [least_difference(x, y) * (NUM + DEN) <= (DEN - NUM) * n for n, x, y in zip(sizes, a, b, strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    def with_both(pairs: DataFrame, *names: str) -> DataFrame:
-        for end in ("u", "v"):
-            pairs = pairs.join(sets.select(F.col("sid").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in names]), end)
-        return pairs
-
-    alike = with_both(pairs, "n", "k").select("u", "v", (F.col("n_u") + F.col("n_v")).alias("n"), "k_u", "k_v")
-    alike = cut(alike.mapInArrow(compare, "u long, v long"))
+def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of sets that have the similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +224,9 @@ def similar_pairs(pairs: DataFrame, named: DataFrame, texts: DataFrame, shingle:
                 good.append(bool(reaches(common, len(x) + len(y))))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return with_both(alike, "s").select("u", "v", "s_u", "s_v").mapInArrow(verify, "u long, v long")
+    for end in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("sid").alias(end), F.col("s").alias(f"s_{end}")), end)
+    return cut(pairs.select("u", "v", "s_u", "s_v").mapInArrow(verify, "u long, v long"))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, hot: int = HOT) -> DataFrame:
@@ -219,19 +243,29 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(batches):
             sets = [shingle_set(t, shingle) for t in text_bytes(part.column(1))]
-            fps = np.array([two_fingerprints(s) for s in sets], np.uint64).reshape(-1, 2)
-            columns = [np.array([set_id(s) for s in sets], np.uint64), fps[:, 0], fps[:, 1]]
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x.copy().view(np.int64)) for x in columns], pa.array([len(s) for s in sets], pa.int64())], names=["row", "sid", "fp", "fp2", "n"])
+            fps = np.array([some_fingerprints(s) for s in sets], np.uint64).reshape(-1, WORDS)
+            columns = [np.array([set_id(s) for s in sets], np.uint64), *fps.T]
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x.copy().view(np.int64)) for x in columns], pa.array([len(s) for s in sets], pa.int64())], names=["row", "sid", *FPS, "n"])
 
-    own = cut(texts.mapInArrow(sign, f"row {kind}, sid long, fp long, fp2 long, n long"))
-    nodes = cut(own.groupBy("sid").agg(F.min("row").alias("row"), *[F.min(x).alias(x) for x in ("fp", "fp2", "n")]))
+    own = cut(texts.mapInArrow(sign, f"row {kind}, sid long, " + ", ".join(f"{x} long" for x in FPS) + ", n long"))
+    nodes = cut(own.groupBy("sid").agg(F.min("row").alias("row"), *[F.min(x).alias(x) for x in (*FPS, "n")]))
     named = nodes.select("sid", "row")
-    first = cut(candidates(nodes.withColumn("label", F.col("sid")), TIGHT, TIGHT_BOTH, True, hot))
-    first = cut(similar_pairs(first, named, texts, shingle))
-    roots = components(first).withColumnRenamed("root", "label")
-    labelled = cut(nodes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "fp", "fp2", "n", F.coalesce("label", "sid").alias("label")))
-    rest = cut(candidates(labelled, BITS, BOTH, False, hot))
-    roots = components(first.unionByName(similar_pairs(rest, named, texts, shingle)))
+
+    def label(found: DataFrame) -> DataFrame:
+        roots = components(found).select("node", F.col("root").alias("label"))
+        return cut(nodes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", *FPS, "n", F.coalesce("label", "sid").alias("label")))
+
+    found, labelled = None, nodes.withColumn("label", F.col("sid"))
+    for bits in ROUNDS:
+        met = candidates(labelled, bits, "forest", hot)
+        ends = met.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+        fresh = similar_pairs(met, fetch_sets(ends, named, texts, shingle))
+        found = fresh if found is None else found.unionByName(fresh)
+        labelled = label(found)
+    open_ = candidates(labelled, ROUNDS[-1], "nodes", hot)
+    sets = fetch_sets(open_, named, texts, shingle)
+    rest = candidates(labelled.join(sets.select("sid", "k"), "sid"), ROUNDS[-1], "pairs", hot)
+    roots = components(found.unionByName(similar_pairs(rest, sets)))
     rooted = nodes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "row", F.coalesce("root", "sid").alias("root"))
     # cut, so that the join's sides are plain exchanges, whose hot partitions Spark can split
     least = cut(rooted.groupBy("root").agg(F.min("row").alias("component_id")))

@@ -283,11 +283,12 @@ def plan_for(distinct: DataFrame, bits: int) -> tuple[Plan, int]:
 
 
 def meet(nodes: DataFrame, plan: Plan, n: int, check: Callable[[dict[str, np.ndarray]], pa.Table], schema: str, hot: int = HOT) -> DataFrame:
-    """What check answers for each group of nodes (column fp, and others of longs) that the plan brings together.
+    """What check answers for each group of nodes (column fp, and others) that the plan brings together.
 
     check gets the nodes' columns and gkey (rows of one gkey are compared), probe, left and right, as close_pairs takes them.
     """
     names = nodes.columns
+    longs = [x for x, kind in nodes.dtypes if kind == "bigint"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -297,7 +298,7 @@ def meet(nodes: DataFrame, plan: Plan, n: int, check: Callable[[dict[str, np.nda
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(probes), *[c.take(at) for c in batch.columns]], names=["key", "probe", *names])
 
-    signed = nodes.mapInArrow(sign, "key long, probe boolean, " + ", ".join(f"{x} long" for x in names))
+    signed = nodes.mapInArrow(sign, "key long, probe boolean, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields))
     sizes = signed.groupBy("key").agg(F.count_if(~F.col("probe")).alias("entries"), F.count_if("probe").alias("probes")).where(F.col("entries") + F.col("probes") > hot)
     half = max(1, hot // 2)
     crowded = cut(sizes.select(F.col("key").alias("hot_key"), F.ceil(F.col("entries") / half).cast("int").alias("eb"), F.ceil(F.col("probes") / half).cast("int").alias("pb")))
@@ -312,7 +313,7 @@ def meet(nodes: DataFrame, plan: Plan, n: int, check: Callable[[dict[str, np.nda
         plain = known.where("eb is null").select(*columns, zero.alias("i"), zero.alias("j"), zero.alias("own"), zero.alias("kind"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"))
         to = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
         upto = lambda c: F.when(F.col(c) > 0, F.sequence(zero, F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-        split = known.where("eb > 0").withColumn("own", F.pmod(F.xxhash64(*names), F.when(F.col("probe"), F.col("pb")).otherwise(F.col("eb"))).cast("int"))
+        split = known.where("eb > 0").withColumn("own", F.pmod(F.xxhash64(*longs), F.when(F.col("probe"), F.col("pb")).otherwise(F.col("eb"))).cast("int"))
         of_entry = F.concat(F.transform(upto("eb"), lambda x: to(F.least(x, "own"), F.greatest(x, "own"), 0)), F.transform(upto("pb"), lambda x: to(F.col("own"), x, 1)))
         of_probe = F.transform(upto("eb"), lambda x: to(x, F.col("own"), 1))
         split = split.withColumn("to", F.explode(F.when(F.col("probe"), of_probe).otherwise(of_entry))).select(*columns, "to.i", "to.j", "own", "to.kind")

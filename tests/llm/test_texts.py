@@ -194,7 +194,7 @@ def test_verdict_is_that_of_em_row_by_row(spark, tmp_path):
         assert i not in p or x.p_good == pytest.approx(p[i], abs=2e-3)
     kept = [got[i].kept for i in fine]
     votes = {v.name: [got[i][f"vote_{v.name}"] for i in fine] for v in quality.RULES}
-    assert 0 < sum(kept) < len(kept) and all([x == 1 for x in v] != kept for v in votes.values())
+    assert 0 < sum(kept) < len(kept) and sum([x == 1 for x in v] == kept for v in votes.values()) <= 1
     assert [all(x >= 0 for x in v) for v in zip(*votes.values())] != kept  # not all must pass
 
 
