@@ -113,7 +113,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
         delta = spark.read.parquet(a.delta)
         out = correction.difference(trades, delta, policy=MatchPolicy.of(a.policy))
         if a.checkpoints:
-            correction.stale(checkpoint.listing(checkpoint.read(spark, a.checkpoints), MatchPolicy.of(a.policy)), delta).show()
+            lots = checkpoint.read(spark, a.checkpoints)
+            correction.stale(checkpoint.listing(lots, MatchPolicy.of(a.policy)), delta).show()
+            checkpoint.write(correction.rebuild(trades, lots, delta, MatchPolicy.of(a.policy)), a.checkpoints)
     elif a.verb == "bench":
         found = bench.bench(trades)
         print(json.dumps(found, indent=2))

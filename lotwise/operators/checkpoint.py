@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ def lots_at(trades: DataFrame, cutoff: int, policy: MatchPolicy = MatchPolicy.FI
     return open_lots(trades.where(F.col("day") <= cutoff), policy)
 
 
-def build(trades: DataFrame, cutoffs: list[int], policy: MatchPolicy = MatchPolicy.FIFO) -> DataFrame:
-    """Lots at each cutoff, with policy and cutoff_day.  Each cutoff goes on from the lots of the one before it."""
-    out, carry, after = None, None, None
+def build(trades: DataFrame, cutoffs: list[int], policy: MatchPolicy = MatchPolicy.FIFO, carry: DataFrame | None = None, after: int | None = None) -> DataFrame:
+    """Lots at each cutoff, with policy and cutoff_day.  Each cutoff goes on from the lots of the one before it; carry: lots open after day ``after``."""
+    out = None
     for c in sorted(cutoffs):
         part = trades.where(F.col("day") <= c) if after is None else trades.where((F.col("day") > after) & (F.col("day") <= c))
         carry, after = open_lots(part, policy, carry), c
@@ -33,9 +35,39 @@ def cutoffs_of(days: list[int], n: int) -> list[int]:
     return [days[len(days) * k // (n + 1)] for k in range(1, n + 1)]
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def clear(spark: SparkSession, path: str, policy: MatchPolicy) -> None:
+    """Remove a policy's checkpoints."""
+    fs, p = _folder(spark, f"{path}/policy={policy.value}")
+    fs.delete(p, True)
+
+
 def write(lots: DataFrame, path: str) -> None:
-    """Replace a policy's checkpoints and leave those of the others."""
-    lots.write.partitionBy("policy", "cutoff_day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    """Replace the checkpoints of the policies that lots hold, cutoffs that are no longer among them included, and leave those of other policies.
+
+    New ones are written beside the old first, so lots may come from the path itself.  A policy without any lots is left to ``clear``.
+    """
+    spark = lots.sparkSession
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    lots.write.partitionBy("policy", "cutoff_day").parquet(staged)
+    fs, p = _folder(spark, staged)
+    for policy in MatchPolicy:
+        fresh = _folder(spark, f"{staged}/policy={policy.value}")[1]
+        if fs.exists(fresh):
+            clear(spark, path, policy)
+            fs.rename(fresh, _folder(spark, f"{path}/policy={policy.value}")[1])
+    fs.delete(p, True)
+
+
+def written_cutoffs(spark: SparkSession, path: str, policy: MatchPolicy = MatchPolicy.FIFO) -> list[int]:
+    """Cutoffs with lots at a path, ascending, from the names of folders alone."""
+    fs, p = _folder(spark, f"{path}/policy={policy.value}")
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("cutoff_day="))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

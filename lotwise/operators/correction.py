@@ -54,6 +54,11 @@ def rebuild(trades: DataFrame, lots: DataFrame, delta: DataFrame, policy: MatchP
     if not redo:
         return own
     fixed = apply_delta(trades.join(keys, list(KEY), "left_semi"), delta)
-    fresh = checkpoint.build(fixed, redo, policy)
+    sound = max((c for c in old if c < day), default=None)
+    if sound is None:
+        fresh = checkpoint.build(fixed, redo, policy)
+    else:
+        carry = own.where(F.col("cutoff_day") == sound).join(keys, list(KEY), "left_semi").drop("policy", "cutoff_day")
+        fresh = checkpoint.build(fixed.where(F.col("day") > sound), redo, policy, carry, sound)
     kept = own.where(~F.col("cutoff_day").isin(redo)).unionByName(own.where(F.col("cutoff_day").isin(redo)).join(keys, list(KEY), "left_anti").select(*own.columns), allowMissingColumns=True)
     return kept.unionByName(fresh.select(*kept.columns))

@@ -33,6 +33,7 @@ SQL_LI = """SELECT l_suppkey AS client_id, l_partkey % 20 AS symbol_id,
   (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) * CAST(l_quantity AS BIGINT) AS signed_qty,
   CAST(round(l_extendedprice / l_quantity / 0.05) AS BIGINT) AS price_ticks,
   CAST(datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS day FROM lineitem"""
+SQL_WHALE = SQL_LI.replace("l_suppkey AS client_id, l_partkey % 20 AS symbol_id", "CAST(0 AS BIGINT) AS client_id, CAST(0 AS BIGINT) AS symbol_id").replace("PARTITION BY l_suppkey, l_partkey % 20 ", "")
 SQL_EV = """SELECT user_id AS client_id, CAST(0 AS BIGINT) AS symbol_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
   (CASE WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 1 END) * CAST(greatest(1, floor(value)) AS BIGINT) AS signed_qty,
   CAST(round((20 + value) / 0.05) AS BIGINT) AS price_ticks,
@@ -103,7 +104,18 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
 
 
 def lots_table(s: SparkSession, d: str, policy: MatchPolicy = FIFO) -> DataFrame:
-    return checkpoint.build(LI(s, d), list(CUTOFFS), policy)
+    """Written and read again."""
+    path = scratch(s, "checkpoints")
+    checkpoint.write(checkpoint.build(LI(s, d), list(CUTOFFS), policy), path)
+    return checkpoint.read(s, path)
+
+
+def rewritten(s: SparkSession, d: str) -> DataFrame:
+    """Checkpoints at all cutoffs, replaced by those at the second: the listing of what is left."""
+    path = scratch(s, "rewritten")
+    for cutoffs in (list(CUTOFFS), [CUTOFFS[1]]):
+        checkpoint.write(checkpoint.build(LI(s, d), cutoffs), path)
+    return checkpoint.listing(checkpoint.read(s, path))
 
 
 # trades and their places
@@ -162,7 +174,7 @@ register(
 for _name, _days in (("day", DAY), ("month", MONTH), ("random", RANGE)):
     register(f"fifo_pnl_range_{_name}", lambda s, d, r=_days: query.run(LI(s, d), query.Query(lo=r[0], hi=r[1])), sql_pnl(sql_fifo(), where=f"WHERE sell_day BETWEEN {_days[0]} AND {_days[1]}"))
 register("range_via_checkpoint", lambda s, d: query.run(LI(s, d), query.Query(lo=MONTH[0], hi=MONTH[1]), lots_table(s, d)), sql_pnl(sql_fifo(), where=f"WHERE sell_day BETWEEN {MONTH[0]} AND {MONTH[1]}"))
-register("whale_pnl", lambda s, d: pnl.pnl(matching.fragments(tradebook.whale_trades(s, d), chunk=4096)))
+register("whale_pnl", lambda s, d: pnl.pnl(matching.fragments(tradebook.whale_trades(s, d), chunk=4096)), sql_pnl(sql_fifo(SQL_WHALE)))
 register("chunked_fragments", lambda s, d: matching.fragments(LI(s, d), chunk=8), f"{sql_fifo()} SELECT * FROM f")
 
 # other policies
@@ -213,7 +225,8 @@ def cutoffs(s: SparkSession) -> DataFrame:
     return s.createDataFrame([(c,) for c in CUTOFFS], "cutoff_day int")
 
 
-register("nearest_checkpoint", lambda s, d: cutoffs(s).where(F.col("cutoff_day") < MONTH[0]).agg(F.max("cutoff_day").alias("cutoff_day")), f"SELECT max(cutoff_day) AS cutoff_day FROM {SQL_CUTOFFS} WHERE cutoff_day < {MONTH[0]}")
+register("checkpoints_rewritten", rewritten, f"SELECT CAST({CUTOFFS[1]} AS INTEGER) AS cutoff_day")
+register("nearest_checkpoint", lambda s, d: s.createDataFrame([(checkpoint.nearest(lots_table(s, d), MONTH[0]),)], "cutoff_day int"), f"SELECT max(cutoff_day) AS cutoff_day FROM {SQL_CUTOFFS} WHERE cutoff_day < {MONTH[0]}")
 register("checkpoint_invalidated", lambda s, d: checkpoint.invalidated(cutoffs(s), LATE), f"SELECT cutoff_day FROM {SQL_CUTOFFS} WHERE cutoff_day >= {LATE}")
 
 # rollups

@@ -34,8 +34,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; only where none is named, as in tests, in a temporary one."""
+    """A fresh path in the folder that the cluster shares; only where none is named and all runs on one machine, as in tests, in a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lotwise-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lotwise-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -41,10 +41,30 @@ def test_checkpoints_by_policy(spark, policy, tmp_path):
     left = {"fifo": [(1, 40), (2, 40)], "lifo": [(1, 80)], "hifo": [(1, 80)]}[policy.value]
     assert rows(lots.where("cutoff_day = 35").select("seq", "signed_qty")) == left
     assert checkpoint.nearest(lots, 35) == 25 and checkpoint.nearest(lots, 36) == 35 and checkpoint.nearest(lots, 25) is None
+    assert checkpoint.written_cutoffs(spark, path, policy) == [25, 35]
     q = query.Query(lo=40, hi=60, policy=policy)
     assert rows(query.run(t, q, lots)) == rows(query.run(t, q))
 
 
+def test_rewriting_clears_stale_checkpoints(spark, tmp_path):
+    """Built at two days, then after a correction at an earlier one: the old ones would give wrong ranges."""
+    rows_ = [(30, 700, 12), (80, 900, 18), (-50, 1100, 22), (-20, 1300, 45)]
+    path = str(tmp_path / "lots")
+    checkpoint.write(checkpoint.build(frame(spark, {(4, 2): rows_}), [16, 40]), path)
+    checkpoint.write(checkpoint.build(frame(spark, {(4, 2): rows_}), [16], MatchPolicy.LIFO), path)
+    fixed = frame(spark, {(4, 2): [(90, 300, 12), *rows_[1:]]})
+    checkpoint.write(checkpoint.build(fixed, [20]), path)
+    assert checkpoint.written_cutoffs(spark, path) == [20] and checkpoint.written_cutoffs(spark, path, MatchPolicy.LIFO) == [16]
+    lots = checkpoint.read(spark, path)
+    q = query.Query(lo=41, hi=60)
+    assert rows(query.run(fixed, q, lots)) == rows(query.run(fixed, q)) == [(1, 1, 20, 20 * (1300 - 300))]
+    n = lots.where("policy = 'fifo'").count()
+    checkpoint.write(lots.where("policy = 'fifo'"), path)  # onto itself
+    assert checkpoint.written_cutoffs(spark, path) == [20] and checkpoint.read(spark, path).where("policy = 'fifo'").count() == n
+    checkpoint.clear(spark, path, MatchPolicy.FIFO)
+    assert checkpoint.written_cutoffs(spark, path) == []
+
+
 def test_query_selects_and_measures(spark):
     t = frame(spark, {(7, 1): [(100, 1000, 1), (-100, 1200, 1)], (7, 2): [(50, 500, 2), (-50, 700, 50)], (8, 1): [(1, 1, 1)]})
     assert rows(query.run(t, query.Query(client=7))) == [(0, 1, 100, 20000), (1, 1, 50, 10000)]
