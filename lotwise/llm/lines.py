@@ -358,7 +358,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
                 if len(seen) > 1 << 20:
                     seen.clear()
                 at = pa.array(of, pa.int64())
-                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(c)).astype(np.int32)), pa.array(np.array(x, np.uint64).view(np.int64))) for x, c in ((entries, count), (probes, asked))]
+                # null where there are none: these rows are written
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(c)).astype(np.int32)), pa.array(np.array(x, np.uint64).view(np.int64)), mask=pa.array(np.array(c, np.int64) == 0)) for x, c in ((entries, count), (probes, asked))]
                 longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hashes, more)]
                 columns = [batch.column("k").take(at), batch.column("row").take(at), pa.array(no, pa.int32()), *longs, *lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "row", "no", "h", "more", "entries", "probes"])
