@@ -4,15 +4,23 @@ The vocabulary is a public ``tokenizers`` file; its path (or its name in the
 ``public_tokenizers`` package, looked up where the work is done) is a parameter.
 
 Encoding: the pattern of the vocabulary splits a text into pieces, and each is
-merged by rank.  A piece that the pattern leaves long ("unsplit text") is
-encoded by *tree concatenation*: its halves are encoded in parallel, down to
-leaves, and at each join a window of tokens around the seam is encoded anew and
-grown until it agrees exactly with both sides.  A sequence of tokens is the
-encoding of its bytes iff each adjacent pair is the encoding of the pair's
-bytes; a window whose outermost tokens are those of the sides therefore settles
-the whole join, and the result is exactly that of encoding in one go.
-
-Null texts count as empty: no tokens, decoded to "".
+merged by rank.  A long text is encoded by *tree concatenation* before anything
+splits it: it is halved at any character, down to leaves, the leaves are encoded
+in parallel, and at each join the text around the seam is encoded anew, in a
+window that grows until both of its ends lie where the pattern ends a piece
+whatever surrounds them.  Tokens outside such a window are those of the sides,
+as the pattern looks back at nothing and no further ahead than those ends.
+
+Where no such place is near, the window is one piece (a long run of letters, for
+instance), and both sides have encoded their part of it.  Then tokens around the
+seam are encoded anew and grown until they agree exactly with both sides: a
+sequence of tokens is the encoding of a piece iff each adjacent pair is the
+encoding of the pair's bytes, so a window whose outermost tokens are those of
+the sides settles the join.  Either way the result is exactly that of encoding
+in one go.
+
+Null texts count as empty: no tokens, decoded to "".  Repeated rows stay, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,14 +42,23 @@ from ..session import ship
 from .common import OUT_BYTES
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces of more bytes than this are encoded as a tree, down to leaves of at most this size.
+#: Texts of more bytes than this are encoded as a tree, down to leaves of about this size.
 LEAF_BYTES = 4096
-#: Tokens on each side of a seam in its first window.
+#: Tokens on each side of a seam in its first window within a piece.
 WINDOW = 8
+#: Characters on each side of a seam in its first window.
+REACH = 32
 
 #: Fixed value: the pattern by which byte-level BPE splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Places where PATTERN ends a piece in any surroundings: before white space, before a digit, and after letters and digits of settled
+#: blocks before punctuation.  Unassigned characters count as nothing, as libraries know different versions of Unicode.
+ENDS = regex.compile(
+    r"(?<=[^\s\p{C}])(?=[ \t\n\r])|(?<=[^\s\p{N}\p{C}])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+    r"|(?<=[A-Za-z0-9À-ÖØ-öø-ÿА-яぁ-ゖァ-ヺ一-龥가-힣])(?=[!-/:-@\[-`{-~、。，！？：；])"
+)
+
 
 def _byte_of_char() -> dict[str, int]:
     """Byte-level vocabularies write printable Latin-1 bytes as themselves and the rest, in order, from U+0100 on."""
@@ -60,7 +77,7 @@ class Bpe:
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self.core = tiktoken.Encoding("lotwise", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        self.added, self.leaf = added, leaf_bytes
+        self.added, self.leaf, self.joins = added, leaf_bytes, 0
         self.pieces = regex.compile(PATTERN)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         size = max([*ranks.values(), *added.values()]) + 1
@@ -72,16 +89,66 @@ class Bpe:
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
 
     def encode(self, text: str, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
-        if len(text) * 4 <= self.leaf or longest_run(text.encode()) <= self.leaf:
-            return np.asarray(self.core.encode_to_numpy(text, allowed_special="all"), np.int32)
-        out: list[int] = []
+        if len(text) * 4 <= self.leaf or len(text.encode()) <= self.leaf:
+            return self._leaf(text)
+        parts = []
         for part in self.marks.split(text) if self.marks else [text]:
-            if part in self.added:
-                out.append(self.added[part])
-            elif part:
-                for piece in self.pieces.findall(part):
-                    out += self.encode_piece(piece.encode(), pool)
-        return np.array(out, np.int32)
+            parts.append(np.array([self.added[part]], np.int32) if part in self.added else self._tree(part, pool))
+        return np.concatenate(parts)
+
+    def _leaf(self, text: str) -> np.ndarray:
+        return np.asarray(self.core.encode_to_numpy(text, allowed_special="all"), np.int32)
+
+    def _tree(self, text: str, pool: ThreadPoolExecutor | None) -> np.ndarray:
+        """A text without added tokens."""
+        size = max(1, self.leaf * len(text) // max(1, len(text.encode())))
+        leaves = [text]
+        while max(map(len, leaves)) > size:
+            leaves = [half for x in leaves for half in ((x[: len(x) // 2], x[len(x) // 2 :]) if len(x) > size else (x,))]
+        run = pool.map if pool and len(leaves) > 1 else map
+        done = list(zip(leaves, run(self._leaf, leaves), strict=True))
+        while len(done) > 1:  # neighbours meet, level by level
+            pairs = [(done[i], done[i + 1]) for i in range(0, len(done) - 1, 2)]
+            self.joins += len(pairs)
+            done = list(run(self._join, pairs)) + done[2 * len(pairs) :]
+        return done[0][1]
+
+    def _join(self, pair: tuple[tuple[str, np.ndarray], tuple[str, np.ndarray]]) -> tuple[str, np.ndarray]:
+        """Text and tokens of two neighbours as one; each side's own end is as good as a place of ENDS."""
+        (before, left), (after, right) = pair
+        reach, x = REACH, 0
+        while reach < len(before):
+            found = [m.start() for m in ENDS.finditer(before[-reach:])]
+            if found:
+                x = len(before) - reach + found[-1]
+                break
+            reach *= 2
+        reach, y = REACH, len(after)
+        while reach < len(after):
+            first = ENDS.search(after[:reach])
+            if first:
+                y = first.start()
+                break
+            reach *= 2
+        head, tail = before[x:], after[:y]
+        i, j = len(left) - self._count(left[::-1], head), self._count(right, tail)
+        if len(head) + len(tail) <= self.leaf:
+            seam = self._leaf(head + tail)
+        elif self.whole(head) and self.whole(tail) and self.whole(head + tail):
+            seam = self._meet((left[i:].tolist(), right[:j].tolist()))
+        else:
+            seam = [t for piece in self.pieces.findall(head + tail) for t in self.encode_piece(piece.encode())]
+        return before + after, np.concatenate([left[:i], np.array(seam, np.int32), right[j:]])
+
+    def _count(self, ids: np.ndarray, text: str) -> int:
+        """How many of the first tokens have the bytes of the text; a token has a byte at least."""
+        size = len(text.encode())
+        return int(np.searchsorted(np.cumsum(self.lengths[ids[:size]]), size)) + 1 if size else 0
+
+    def whole(self, text: str) -> bool:
+        """Whether the pattern leaves the text in one piece."""
+        found = self.pieces.match(text)
+        return found is not None and found.end() == len(text)
 
     def encode_piece(self, piece: bytes, pool: ThreadPoolExecutor | None = None) -> list[int]:
         """One piece that the pattern does not split, as a tree if it is long."""
@@ -115,13 +182,6 @@ class Bpe:
         return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
 
 
-def longest_run(data: bytes) -> int:
-    """Bytes of the longest stretch without a change between white and other characters, ASCII's white ones only; no piece is longer."""
-    white = np.frombuffer(data, np.uint8) <= 0x20
-    edges = np.flatnonzero(white[1:] != white[:-1])
-    return int(np.diff(np.concatenate([[-1], edges, [len(data) - 1]])).max()) + 1  # a piece may hold the blank before it
-
-
 def find(vocabulary: str) -> str:
     """A path stays; a bare name is looked up in the package of public vocabularies, on this machine."""
     if os.sep in vocabulary:

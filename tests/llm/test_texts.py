@@ -9,8 +9,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -307,6 +309,36 @@ def test_long_unsplit_piece(tokenizer):
     assert bpe.Bpe("byte_bpe_50k.json").encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+LONG = {
+    "prose": lambda r: " ".join("".join(r.choice("etaoinshr'") for _ in range(r.randint(1, 9))) for _ in range(200_000)),
+    "mixed": lambda r: "<|endoftext|>".join("".join(r.choice([x for x in PARTS if "<" not in x]) for _ in range(100_000)) for _ in range(2)),
+    "letters": lambda r: "".join(r.choice("aeiounst") for _ in range(200_000)),
+    "han": lambda r: "".join(r.choice("日本語中文字國際") for _ in range(100_000)),
+    "base64": lambda r: "".join(r.choice("abcdefghABCDEFGH0123456789+/") for _ in range(1_000_000)),
+    "blanks": lambda r: "".join(r.choice([" ", "\n", "\u2003"]) for _ in range(50_000)),
+    "apostrophes": lambda r: "".join(r.choice("''''slreTv d") for _ in range(200_000)),
+    "marks": lambda r: "".join(r.choice("!?-.\u2014\u0301") for _ in range(50_000)),
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_texts_are_joined_exactly(tokenizer, kind):
+    coder, text = bpe.Bpe("byte_bpe_50k.json"), LONG[kind](random.Random(kind))
+    with ThreadPoolExecutor(2) as pool:
+        ids = coder.encode(text, pool)
+    assert coder.joins > 0
+    assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_tables_texts_are_joined(tokenizer):
+    """The tree carries texts of the test tables."""
+    coder = bpe.Bpe("byte_bpe_50k.json")
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert coder.encode(t).tolist() == e.ids
+    assert coder.joins > 100
+
+
 def test_bpe_over_documents(docs, corpus, tokenizer):
     rows = {r.doc_id: r for r in bpe.bpe_encode(docs, decoded="decoded").collect()}
     for i, t, _ in corpus:
