@@ -4,7 +4,7 @@
     bits each; texts of one set are one node.
 2.  Nodes of which the first fingerprints differ in few bits meet by the
     generalised pigeonhole principle; pairs whose sizes or whose fingerprints together
-    rule the similarity out are left.  In the first ``ROUNDS`` each group answers with the minimum spanning
+    rule the similarity out are left.  First each group answers with the minimum spanning
     forest of its candidates, by bits of all fingerprints, and the forest's pairs
     are verified.  This links the bulk of a cluster without its pairs.
 3.  Nodes that still have candidates of another cluster meet again, each with a
@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import OUT_BYTES, cut, text_bytes
 from .components import components, merge_labels
-from .simhash import HOT, close_pairs, meet, plan_for
+from .simhash import HOT, Plan, close_pairs, meet, plan_for
 
 #: Fixed value: the similarity that makes near-copies, as a fraction.
 NUM, DEN = 4, 5
 #: Fingerprints of a set, and differing bits of all together.
 WORDS, ALL = 4, 50
-#: Differing bits of the first fingerprints in each round of forests; the last also holds for what is left.
-ROUNDS = (8, 13)
+#: Differing bits of the first fingerprints.
+BITS = 13
 FPS = ("fp", *(f"fp{i}" for i in range(2, WORDS + 1)))
 #: Candidates of a group that are thinned to a forest at once.
 FOREST = 1 << 20
@@ -139,10 +139,9 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(nodes: DataFrame, bits: int, kind: str, hot: int = HOT) -> DataFrame:
-    """Of the candidates among nodes (sid, fp, fp2, ..., n, label) of different labels, by kind: pairs (u, v: sid) of each group's minimum
+def candidates(nodes: DataFrame, plan: Plan, n: int, bits: int, kind: str, hot: int = HOT) -> DataFrame:
+    """Of the candidates that the plan finds among at most n nodes (sid, fp, fp2, ..., n, label) of different labels, by kind: pairs (u, v: sid) of each group's minimum
     spanning forest ("forest"), all nodes that have one ("nodes": sid), or all pairs whose sketches (k) allow the similarity ("pairs")."""
-    plan, n = plan_for(nodes, bits)
 
     def check(c: dict[str, np.ndarray]) -> pa.Table:
         order = np.lexsort((c["probe"], c["gkey"]))
@@ -251,20 +250,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     nodes = cut(own.groupBy("sid").agg(F.min("row").alias("row"), *[F.min(x).alias(x) for x in (*FPS, "n")]))
     named = nodes.select("sid", "row")
 
-    def label(found: DataFrame) -> DataFrame:
-        roots = components(found).select("node", F.col("root").alias("label"))
-        return cut(nodes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", *FPS, "n", F.coalesce("label", "sid").alias("label")))
-
-    found, labelled = None, nodes.withColumn("label", F.col("sid"))
-    for bits in ROUNDS:
-        met = candidates(labelled, bits, "forest", hot)
-        ends = met.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-        fresh = similar_pairs(met, fetch_sets(ends, named, texts, shingle))
-        found = fresh if found is None else found.unionByName(fresh)
-        labelled = label(found)
-    open_ = candidates(labelled, ROUNDS[-1], "nodes", hot)
+    plan, n = plan_for(nodes, BITS)
+    met = candidates(nodes.withColumn("label", F.col("sid")), plan, n, BITS, "forest", hot)
+    ends = met.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    found = similar_pairs(met, fetch_sets(ends, named, texts, shingle))
+    roots = components(found).select("node", F.col("root").alias("label"))
+    labelled = cut(nodes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", *FPS, "n", F.coalesce("label", "sid").alias("label")))
+    open_ = candidates(labelled, plan, n, BITS, "nodes", hot)
     sets = fetch_sets(open_, named, texts, shingle)
-    rest = candidates(labelled.join(sets.select("sid", "k"), "sid"), ROUNDS[-1], "pairs", hot)
+    left = labelled.join(sets.select("sid", "k"), "sid")
+    rest = candidates(left, plan, sets.count(), BITS, "pairs", hot)
     roots = components(found.unionByName(similar_pairs(rest, sets)))
     rooted = nodes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "row", F.coalesce("root", "sid").alias("root"))
     # cut, so that the join's sides are plain exchanges, whose hot partitions Spark can split

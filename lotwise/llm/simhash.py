@@ -283,7 +283,7 @@ def plan_for(distinct: DataFrame, bits: int) -> tuple[Plan, int]:
 
 
 def meet(nodes: DataFrame, plan: Plan, n: int, check: Callable[[dict[str, np.ndarray]], pa.Table], schema: str, hot: int = HOT) -> DataFrame:
-    """What check answers for each group of nodes (column fp, and others) that the plan brings together.
+    """What check answers for each group of the n nodes (column fp, and others) that the plan brings together.
 
     check gets the nodes' columns and gkey (rows of one gkey are compared), probe, left and right, as close_pairs takes them.
     """
@@ -301,13 +301,14 @@ def meet(nodes: DataFrame, plan: Plan, n: int, check: Callable[[dict[str, np.nda
     signed = nodes.mapInArrow(sign, "key long, probe boolean, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields))
     sizes = signed.groupBy("key").agg(F.count_if(~F.col("probe")).alias("entries"), F.count_if("probe").alias("probes")).where(F.col("entries") + F.col("probes") > hot)
     half = max(1, hot // 2)
-    crowded = cut(sizes.select(F.col("key").alias("hot_key"), F.ceil(F.col("entries") / half).cast("int").alias("eb"), F.ceil(F.col("probes") / half).cast("int").alias("pb")))
+    # a node has each key once at most, so no key of that few nodes is hot
+    crowded = None if n <= hot else cut(sizes.select(F.col("key").alias("hot_key"), F.ceil(F.col("entries") / half).cast("int").alias("eb"), F.ceil(F.col("probes") / half).cast("int").alias("pb")))
     per_row = sum(1 + sum(comb(len(p), k) for k in range(1, t + 1)) / 2 for p, t in zip(plan.parts, plan.radii, strict=True))
     groups = max(1, int(n * per_row / GROUP_ROWS))
     zero = F.lit(0)
     columns = ["key", "probe", *names]
     spread = signed.select(*columns, zero.alias("i"), zero.alias("j"), zero.alias("own"), zero.alias("kind"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"))
-    if crowded.limit(1).count():
+    if crowded is not None and crowded.limit(1).count():
         # of a hot key, blocks of entries meet each other (kind 0) and blocks of probes (kind 1)
         known = signed.join(crowded, F.col("key") == F.col("hot_key"), "left")
         plain = known.where("eb is null").select(*columns, zero.alias("i"), zero.alias("j"), zero.alias("own"), zero.alias("kind"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"))

@@ -95,7 +95,8 @@ def test_thresholds_cover_the_distance():
             assert len(used) == len(set(used)) and max(map(len, plan.parts)) <= 32
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [components.LOCAL, 7])
+def test_components(spark, local):
     r = random.Random(4)
     links = [(i, i + 1) for i in range(0, 60)] + [(r.randint(100, 160), r.randint(100, 160)) for _ in range(40)] + [(200, i) for i in range(201, 260)] + [(7, 7)]
     label = {}
@@ -107,7 +108,7 @@ def test_components(spark):
 
     for u, v in links:
         label[max(root(u), root(v))] = min(root(u), root(v))
-    got = {x.node: x.root for x in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(links, "u long, v long"), local).collect()}
     assert got == {x: root(x) for x in list(label) if root(x) != x}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
