@@ -207,7 +207,16 @@ FROM p JOIN t b ON b.client_id = p.client_id AND b.symbol_id = p.symbol_id AND b
 )
 register(
     "avg_cost_pnl",
-    lambda s, d: matching.average_cost(LI(s, d)).select(*KEY, "sell_seq", "sell_day", "qty", F.round("cost_ticks", 4).alias("cost_ticks"), F.round("realized_ticks", 2).alias("realized_ticks")),
+    lambda s, d: matching.average_cost(LI(s, d)),
+    f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER ({KEYS} ORDER BY seq) AS rn FROM ({SQL_LI})), w AS (
+  SELECT DISTINCT client_id, symbol_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS held, CAST(0 AS DOUBLE) AS cost, CAST(0 AS BIGINT) AS seq, CAST(0 AS INTEGER) AS day, CAST(0 AS BIGINT) AS price, CAST(0 AS BIGINT) AS qty FROM t
+  UNION ALL
+  SELECT t.client_id, t.symbol_id, t.rn, CAST(CASE WHEN signed_qty > 0 THEN held + signed_qty ELSE held - least(-signed_qty, held) END AS BIGINT),
+    CASE WHEN signed_qty > 0 THEN (cost * held + CAST(price_ticks * signed_qty AS DOUBLE)) / (held + signed_qty) ELSE cost END,
+    CAST(t.seq AS BIGINT), CAST(t.day AS INTEGER), CAST(price_ticks AS BIGINT), CAST(CASE WHEN signed_qty < 0 THEN least(-signed_qty, held) ELSE 0 END AS BIGINT)
+  FROM w JOIN t ON t.client_id = w.client_id AND t.symbol_id = w.symbol_id AND t.rn = w.rn + 1
+)
+SELECT client_id, symbol_id, seq AS sell_seq, day AS sell_day, qty, cost AS cost_ticks, qty * (price - cost) AS realized_ticks FROM w WHERE qty > 0""",
 )
 
 # lots and checkpoints
@@ -240,13 +249,13 @@ register(
     f"{sql_fifo()} SELECT DISTINCT {SQL_PERIOD} AS period, strftime(DATE '1970-01-01' + sell_day, '%Y-%m') AS label FROM f",
 )
 
-# corrections: one supplier's trades of a day go, and those of the next day double
-SQL_FIXED = f"SELECT client_id, symbol_id, seq, CASE WHEN client_id <= {CLIENT} AND day = {LATE + 1} THEN 2 * signed_qty ELSE signed_qty END AS signed_qty, price_ticks, day FROM ({SQL_LI}) WHERE NOT (client_id <= {CLIENT} AND day = {LATE})"
-SQL_TOUCHED = f"SELECT DISTINCT client_id, symbol_id FROM ({SQL_LI}) WHERE client_id <= {CLIENT} AND day IN ({LATE}, {LATE + 1})"
+# corrections: the trades of a day go, and those of the next day double
+SQL_FIXED = f"SELECT client_id, symbol_id, seq, CASE WHEN day = {LATE + 1} THEN 2 * signed_qty ELSE signed_qty END AS signed_qty, price_ticks, day FROM ({SQL_LI}) WHERE day <> {LATE}"
+SQL_TOUCHED = f"SELECT DISTINCT client_id, symbol_id FROM ({SQL_LI}) WHERE day IN ({LATE}, {LATE + 1})"
 
 
 def delta(s: SparkSession, d: str) -> DataFrame:
-    t = LI(s, d).where((F.col("client_id") <= CLIENT) & F.col("day").isin(LATE, LATE + 1))
+    t = LI(s, d).where(F.col("day").isin(LATE, LATE + 1))
     gone = F.col("day") == LATE
     return t.withColumn("op", F.when(gone, "delete").otherwise("update")).withColumn("signed_qty", F.when(gone, F.col("signed_qty")).otherwise(2 * F.col("signed_qty")))
 
@@ -263,7 +272,7 @@ register(
     WHEN a.fragments = b.fragments AND a.matched_qty = b.matched_qty AND a.realized_ticks = b.realized_ticks THEN 'equal' ELSE 'differs' END AS verdict
 FROM ({_BEFORE}) a FULL JOIN ({_AFTER}) b ON a.client_id = b.client_id AND a.symbol_id = b.symbol_id AND a.bucket = b.bucket""",
 )
-register("correction_stale", lambda s, d: correction.stale(cutoffs(s), delta(s, d)), f"SELECT cutoff_day FROM {SQL_CUTOFFS} WHERE cutoff_day >= (SELECT min(day) FROM ({SQL_LI}) WHERE client_id <= {CLIENT} AND day IN ({LATE}, {LATE + 1}))")
+register("correction_stale", lambda s, d: correction.stale(cutoffs(s), delta(s, d)), f"SELECT cutoff_day FROM {SQL_CUTOFFS} WHERE cutoff_day >= (SELECT min(day) FROM ({SQL_LI}) WHERE day IN ({LATE}, {LATE + 1}))")
 register(
     "engine_compare",
     lambda s, d: pnl.compare(query.run(LI(s, d), query.Query(lo=MONTH[0], hi=MONTH[1])), query.run(LI(s, d), query.Query(lo=MONTH[0], hi=MONTH[1]), lots_table(s, d))),
