@@ -1,35 +1,32 @@
 """Operator 4: language-model scoring from a log-frequency Bloom filter.
 
-Counting: Python workers count hashed tokens and bigrams of the training texts
-in portions of bounded size; each portion goes out as one row for each segment
-of the hash range that it has n-grams of, and one group a segment adds the
-portions up.  The number of segments follows the bytes of text, so a group's
-size does not, and rows are never more than n-grams.
-
-Filter: counts are quantised on a logarithmic scale (1, 2 and 3 exactly), and an
-n-gram of level q is entered as (n-gram, 1), ..., (n-gram, q), all n-grams from
-a count of one on.  A count is read by probing (n-gram, 1), (n-gram, 2), ... to
-the first miss or the highest level entered; a level stands for the mean count of
-the n-grams that have it.
-
-The filter has ``BITS`` bits an entry at any size.  A part of it of at most
-``MAX_BITS`` is broadcast: n-grams from the least level on whose entries fit, all of them
-while the whole fits.  What is not found there is probed in the whole filter,
-which then lies in segments: distinct n-grams meet their segment's part, and
-their levels are joined back to the texts.  Either way gives the same levels
-but for the filters' false positives.
-
-Scores: log10 of P(w | v) = (c(v w) + m p(w)) / (c(v) + m), with c(v w) no more than
-c(v) and p the smoothed unigram estimate; counts are those of the filter, exact ones for the ``TOP``
+Asking: Python workers go over portions of texts of bounded size and send each
+segment of the hash range one row a portion: the portion's distinct tokens and
+bigrams of that segment, sorted, with how often its training texts have them.
+The same rows count and ask, so a lookup needs no exchange of its own.  Hashes go
+as differences, by planes of bytes, compressed; bigrams as the upper 48 bits of
+theirs, some four bytes each.  The number of segments follows the bytes of text,
+so a group's size does not.
+
+Filter: a segment adds its portions up.  Counts are quantised on a logarithmic
+scale (1, 2 and 3 exactly), and an n-gram of level q is entered into the segment's
+part of the filter as (n-gram, 1), ..., (n-gram, q), all n-grams from a count of one
+on.  A count is read by probing (n-gram, 1), (n-gram, 2), ... to the first miss or
+the highest level entered; a level stands for the mean count of the n-grams that
+have it.  The filter has ``BITS`` bits an entry at any size; a part is built and
+probed where its segment is, and is never sent.  What goes back to a portion are
+levels, and exact counts of tokens for the base score, in the order it asked.
+
+Scores: portions, read again, meet their answers.  log10 of P(w | v) =
+(c(v w) + m p(w)) / (c(v) + m), with c(v w) no more than c(v) and p the smoothed
+unigram estimate; counts are those of the filter, exact ones for the ``TOP``
 commonest tokens.  Over all w it sums to one within the quantisation.
-
-The base score needs exact counts: the ``TOP`` commonest tokens (at most) are
-broadcast, and what other tokens a document has is joined with the counts.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from array import array
 from collections.abc import Iterator
 
@@ -40,19 +37,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import cut, text_bytes
+from .common import cut, number_rows, text_bytes
 
 BITS, PROBES = 12, 4
-#: Bits of the part that is broadcast, at most (64 MB).
+#: Bits that ``least_level`` is asked for by default; no part of the filter is broadcast any more.
 MAX_BITS = 1 << 29
-#: Tokens with exact counts that are broadcast, at most; by count, in bins of an eighth of a doubling.
+#: Tokens whose exact counts the model takes, at most; by count, in bins of an eighth of a doubling.
 TOP = 200_000
 #: Weight of the unigram estimate, in counts.
 PRIOR = 300.0
-#: Bytes of text a segment of the hash range stands for, and tokens a portion is counted over.
-SEGMENT_BYTES, PORTION = 16 << 20, 1_000_000
+#: Bytes of text a segment of the hash range stands for, and bytes of a portion; a text is never split.
+SEGMENT_BYTES, PORTION = 16 << 20, 8 << 20
 #: Levels a doubling.
 STEPS = 2
+#: Bits of a bigram's hash that are left out: far fewer bigrams meet by that than by the filter.
+DROP = np.uint64(16)
 END = xxhash.xxh64_intdigest(b"", 42)  # no word is empty
 START = xxhash.xxh64_intdigest(b" ", 42)  # no word holds a space
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))  # odd multipliers
@@ -127,70 +126,138 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
 
 
-def _tally(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = np.unique(hashes, return_counts=True)
-    return values, counts.astype(np.int64)
-
-
-def _merge(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, c = np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([np.empty(0, np.int64), *counts])
-    if not len(h):
-        return h, c
-    order = np.argsort(h, kind="stable")
-    h, c = h[order], c[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    return h[first], np.add.reduceat(c, first)
-
-
-def count_ngrams(training: DataFrame, text: str, segments: int) -> DataFrame:
-    """segment, uni_h, uni_c, bi_h, bi_c (sorted arrays as bytes), tokens, types, bins of unigram counts, and by level the n-grams and the sums of their counts, one row a segment."""
-    names = ("uni_h", "uni_c", "bi_h", "bi_c")
-    schema = "segment int, " + ", ".join(f"{n} binary" for n in names)
-
-    def rows(uni: tuple[np.ndarray, np.ndarray], bi: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        of = [segment_of(h, segments) for h, _ in (uni, bi)]
-        present = np.unique(np.concatenate(of))
-        columns: list[list[bytes]] = []
-        for (h, c), s in zip((uni, bi), of, strict=True):
-            c = c.astype(np.uint32)
-            edges = list(zip(np.searchsorted(s, present, "left").tolist(), np.searchsorted(s, present, "right").tolist(), strict=True))
-            columns += [[h[x:y].tobytes() for x, y in edges], [c[x:y].tobytes() for x, y in edges]]
-        return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *[pa.array(x, pa.binary()) for x in columns]], names=["segment", *names])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, first = array("Q"), array("q")
-
-        def flush() -> pa.RecordBatch:
-            nonlocal tokens, first
-            t = np.frombuffer(tokens, np.uint64)
-            out = rows(_tally(t), _tally(bigrams_of(t, np.frombuffer(first, np.int64))))
-            tokens, first = array("Q"), array("q")
-            return out
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                for b in text_bytes(batch.column(0).slice(i, 256)):
-                    first.append(len(tokens))
-                    add_tokens(tokens, b)
-                    if len(tokens) >= PORTION:
-                        yield flush()
-        if tokens:
-            yield flush()
-
-    def add(t: pa.Table) -> pa.Table:
-        read = {n: [np.frombuffer(b, np.uint64 if n.endswith("h") else np.uint32) for b in t.column(n).to_pylist()] for n in names}
-        out = {"segment": [t.column("segment")[0].as_py()]}
-        for x in ("uni", "bi"):
-            h, c = _merge(read[f"{x}_h"], [c.astype(np.int64) for c in read[f"{x}_c"]])
+def pack(x: np.ndarray) -> bytes:
+    """Numbers (not negative), compressed: low bytes first, as planes, without planes of zeros."""
+    x = x.astype(np.uint64)
+    width = -(-int(x.max(initial=0)).bit_length() // 8)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T[:width])
+    return struct.pack("<IB", len(x), width) + (pa.compress(planes, "zstd", asbytes=True) if planes.size else b"")
+
+
+def unpack(b: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<IB", b)
+    planes = np.zeros((8, n), np.uint8)
+    if n and width:
+        planes[:width] = np.frombuffer(pa.decompress(b[5:], n * width, "zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)
+
+
+def pack_sorted(h: np.ndarray) -> bytes:
+    """Ascending numbers, by their differences."""
+    return struct.pack("<Q", int(h[0]) if len(h) else 0) + pack(np.diff(h))
+
+
+def unpack_sorted(b: bytes, n: int) -> np.ndarray:
+    out = np.empty(n, np.uint64)
+    if n:
+        out[0] = struct.unpack_from("<Q", b)[0]
+        out[1:] = unpack(b[8:])
+    return np.cumsum(out, dtype=np.uint64)
+
+
+def portions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
+    """Neighbouring rows (row, k, held_out) with their texts (t), of about ``size`` bytes; the same on each reading of the same rows."""
+    slices, texts, got = [], [], 0
+
+    def made() -> tuple[pa.Table, list[bytes]]:
+        return pa.Table.from_batches(slices), texts
+
+    for batch in batches:
+        i, rest = 0, batch.select(["row", "k", "held_out"])
+        for j, b in enumerate(text_bytes(batch.column("t")), 1):
+            texts.append(b)
+            got += len(b) + 1
+            if got >= size:
+                slices.append(rest.slice(i, j - i))
+                yield made()
+                slices, texts, got, i = [], [], 0, j
+        if i < batch.num_rows:
+            slices.append(rest.slice(i))
+    if texts:
+        yield made()
+
+
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of texts, and where each begins."""
+    tokens, first = array("Q"), array("q")
+    for b in texts:
+        first.append(len(tokens))
+        add_tokens(tokens, b)
+    return np.frombuffer(tokens, np.uint64), np.frombuffer(first, np.int64)
+
+
+def asked(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a portion asks for: its tokens, and its bigrams without the bits that are left out."""
+    return tokens, bigrams_of(tokens, first) >> DROP << DROP
+
+
+def ask_ngrams(rows: DataFrame, segments: int, size: int) -> DataFrame:
+    """segment, portion (number of its first row), and of tokens (uni) and bigrams (bi): n distinct ones, hashes h and training counts c, packed; one row a segment and portion."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, texts in portions(batches, size):
+            tokens, first = tokens_of(texts)
+            lengths = np.diff(np.append(first, len(tokens)))
+            learned = np.repeat(~table.column("held_out").to_numpy(), lengths)
+            found = []
+            for x in asked(tokens, first):
+                h = np.unique(x)
+                known, times = np.unique(x[learned], return_counts=True)
+                c = np.zeros(len(h), np.int64)
+                c[np.searchsorted(h, known)] = times
+                found.append((h, c, segment_of(h, segments)))
+            present = np.unique(np.concatenate([s for _, _, s in found]))
+            columns: list[pa.Array] = [pa.array(present.astype(np.int32)), pa.array(np.full(len(present), table.column("row")[0].as_py(), np.int64))]
+            for (h, c, s), drop in zip(found, (np.uint64(0), DROP), strict=True):
+                edges = list(zip(np.searchsorted(s, present, "left").tolist(), np.searchsorted(s, present, "right").tolist(), strict=True))
+                columns.append(pa.array([y - x for x, y in edges], pa.int32()))
+                columns.append(pa.array([pack_sorted(h[x:y] >> drop) for x, y in edges], pa.binary()))
+                columns.append(pa.array([pack(c[x:y]) for x, y in edges], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["segment", "portion", "uni_n", "uni_h", "uni_c", "bi_n", "bi_h", "bi_c"])
+
+    return rows.mapInArrow(ask, "segment int, portion long, uni_n int, uni_h binary, uni_c binary, bi_n int, bi_h binary, bi_c binary")
+
+
+def answer_ngrams(asks: DataFrame) -> DataFrame:
+    """segment, portion, and in the order asked: counts of tokens (uni_c), levels of tokens and bigrams (uni_q, bi_q), packed.
+
+    One row of each segment has its tokens, types, bins of token counts, and by level the n-grams and the sums of their counts.
+    """
+    kinds = {"segment": pa.int32(), "portion": pa.int64(), "uni_c": pa.binary(), "uni_q": pa.binary(), "bi_q": pa.binary(), "tokens": pa.int64(), "types": pa.int64(), **{n: pa.list_(pa.int64()) for n in LISTS}}
+
+    def answer(t: pa.Table) -> pa.Table:
+        rows, out = len(t), {}
+        hashes, counts, where, edges = {}, {}, {}, {}
+        for x, drop in (("uni", np.uint64(0)), ("bi", DROP)):
+            sizes = t.column(f"{x}_n").to_pylist()
+            h = np.concatenate([unpack_sorted(b, n) for b, n in zip(t.column(f"{x}_h").to_pylist(), sizes, strict=True)]) << drop
+            c = np.concatenate([unpack(b) for b in t.column(f"{x}_c").to_pylist()]).astype(np.int64)
+            hashes[x], where[x] = np.unique(h, return_inverse=True)
+            counts[x] = np.zeros(len(hashes[x]), np.int64)
+            np.add.at(counts[x], where[x], c)
+            edges[x] = np.append(0, np.cumsum(sizes)).tolist()
+        learned = {x: counts[x] > 0 for x in counts}
+        h = np.concatenate([hashes[x][learned[x]] for x in hashes])
+        q = level(np.concatenate([counts[x][learned[x]] for x in hashes]))
+        bits = np.zeros(part_bits(int(q.sum())), np.uint8)
+        enter(bits, h, q)
+        lookup = Filter(np.packbits(bits, bitorder="little"), 1, len(bits), int(q.max(initial=0)))
+        del bits
+        for x in hashes:
+            c = counts[x][learned[x]]
             q = level(c)
-            out |= {f"{x}_h": [h.tobytes()], f"{x}_c": [c.tobytes()], f"{x}_n": [np.bincount(q, minlength=LEVELS).tolist()], f"{x}_sum": [np.bincount(q, weights=c, minlength=LEVELS).astype(np.int64).tolist()]}
+            stats = {f"{x}_n": np.bincount(q, minlength=LEVELS), f"{x}_sum": np.bincount(q, weights=c, minlength=LEVELS).astype(np.int64)}
             if x == "uni":
-                out |= {"tokens": [int(c.sum())], "types": [len(h)], "bins": [np.bincount(_bin(c), minlength=BINS).tolist()]}
-        kinds = {"segment": pa.int32(), **{n: pa.binary() for n in names}, "tokens": pa.int64(), "types": pa.int64(), **{n: pa.list_(pa.int64()) for n in LISTS}}
+                stats |= {"bins": np.bincount(_bin(c), minlength=BINS)}
+                out |= {"tokens": [int(c.sum())] + [None] * (rows - 1), "types": [len(c)] + [None] * (rows - 1)}
+                out["uni_c"] = [pack(counts[x][where[x][i:j]]) for i, j in zip(edges[x], edges[x][1:])]
+            out |= {n: [v.tolist()] + [None] * (rows - 1) for n, v in stats.items()}
+            levels = lookup.levels(hashes[x])
+            out[f"{x}_q"] = [pack(levels[where[x][i:j]]) for i, j in zip(edges[x], edges[x][1:])]
+        out |= {n: t.column(n) for n in ("segment", "portion")}
         return pa.table({n: out[n] for n in kinds}, schema=pa.schema(list(kinds.items())))
 
-    counted = training.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, schema)
-    return counted.groupBy("segment").applyInArrow(add, f"{schema}, tokens long, types long, " + ", ".join(f"{n} array<bigint>" for n in LISTS))
+    return asks.groupBy("segment").applyInArrow(answer, "segment int, portion long, uni_c binary, uni_q binary, bi_q binary, tokens long, types long, " + ", ".join(f"{n} array<bigint>" for n in LISTS))
 
 
 #: Levels of counts up to 2^63, and columns of lists by level or bin.
@@ -216,190 +283,71 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     A row is held out, and not learned from, where crc32 of its key's text is ``held`` modulo ``folds``; null keys are learned
     from.  Null and empty texts are the end alone.  Tokens are told apart by 64-bit hashes.  Without training texts all
     counts are zero.  Repeated rows are learned from and scored each; texts of any length are read whole; an empty table
-    gives an empty one.  Other columns, whatever their names, play no part.
+    gives an empty one.  Other columns, whatever their names, play no part.  docs are read more than once: they come from
+    files or a checkpoint.  max_bits has no effect: it bounded a part of the filter that was broadcast.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     out = F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds == held, F.lit(False))
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), out.alias("held_out"))
-    training = rows.where("not held_out")
-    found = training.agg(F.sum(F.octet_length("t")).alias("size"), F.count("*").alias("n")).first()
-    n_texts = found["n"]
+    rows = number_rows(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), out.alias("held_out"))).select("row", "k", "t", "held_out")
+    found = rows.agg(F.sum(F.octet_length("t")).alias("size"), F.count_if(~F.col("held_out")).alias("n")).first()
+    n_texts, size = found["n"], PORTION
     segments = max(1, -(-(found["size"] or 0) // SEGMENT_BYTES))
-    merged = cut(count_ngrams(training, "t", segments))
-    total = merged.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    answers = cut(answer_ngrams(ask_ngrams(rows, segments, size)))
+    total = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     n, v = total["tokens"] or 0, total["types"] or 0
     lists = {}
     for name in LISTS:  # some hundred rows each
         lists[name] = np.zeros(BINS if name == "bins" else LEVELS, np.int64)
-        for r in merged.select(F.posexplode(name).alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
+        for r in answers.select(F.posexplode(name).alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
             lists[name][r["i"]] = r["n"]
     # what a level stands for
     uni_value, bi_value = (lists[f"{x}_sum"] / np.maximum(lists[f"{x}_n"], 1) for x in ("uni", "bi"))
-    by_level = lists["uni_n"] + lists["bi_n"]
-    highest = int(np.flatnonzero(by_level).max(initial=0))
-    least = least_level(by_level, max_bits)
-    whole = least == 1
-    part = part_bits(-(-int((by_level * np.arange(LEVELS))[least:].sum()) // segments))
-
-    def parts(least: int, size: int | None):
-        """Each segment's part of a filter of the levels from ``least`` on."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for segment, *arrays in zip(*(batch.column(n).to_pylist() for n in ("segment", "uni_h", "uni_c", "bi_h", "bi_c")), strict=True):
-                    h = np.concatenate([np.frombuffer(arrays[i], np.uint64) for i in (0, 2)])
-                    q = level(np.concatenate([np.frombuffer(arrays[i], np.int64) for i in (1, 3)]))
-                    h, q = h[q >= least], q[q >= least]
-                    bits = np.zeros(size or part_bits(int(q.sum())), np.uint8)
-                    enter(bits, h, q)
-                    yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
-
-        return merged.select("segment", "uni_h", "uni_c", "bi_h", "bi_c").mapInArrow(run, "segment int, bits binary")
-
-    data = np.zeros(segments * part // 8, np.uint8)
-    for row in parts(least, part).toLocalIterator():  # max_bits in all
-        at = row["segment"] * part // 8
-        data[at : at + part // 8] = np.frombuffer(row["bits"], np.uint8)
     # the commonest tokens: all bins from the first down to which at most TOP tokens have their counts
     cutoff, above = BINS, 0
     while cutoff > 0 and above + lists["bins"][cutoff - 1] <= TOP:
         cutoff -= 1
         above += lists["bins"][cutoff]
-
-    def counts(common: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    h, c = np.frombuffer(row["uni_h"], np.int64), np.frombuffer(row["uni_c"], np.int64)
-                    pick = (_bin(c) >= cutoff) == common
-                    for i in range(0, int(pick.sum()), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([pa.array(h[pick][i : i + (1 << 16)]), pa.array(c[pick][i : i + (1 << 16)])], names=["h", "c"])
-
-        return run
-
-    top = merged.select("uni_h", "uni_c").mapInArrow(counts(True), "h long, c long").toArrow()  # at most TOP rows
-    top_h, top_c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.argsort(top_h)
-    shared = spark.sparkContext.broadcast((data, top_h[order], top_c[order]))
     scale = n + 0.5 * (v + 1)
     log_scale = math.log10(scale)
 
-    def read(lookup: Filter, hashes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Counts of sorted hashes, NaN for those that the whole filter must be asked for."""
-        q = lookup.levels(hashes)
-        return value[q] if whole else np.where(q >= least, value[q], np.nan)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, common, common_c = shared.value
-        lookup = Filter(data, segments, part, highest)
-        for batch in batches:
-            texts = text_bytes(batch.column(1))
-            i = 0
-            while i < len(texts):
-                tokens, first = array("Q"), array("q")
-                j = i
-                while j < len(texts) and (j == i or len(tokens) + len(texts[j]) // 4 < PORTION // 4):
-                    first.append(len(tokens))
-                    add_tokens(tokens, texts[j])
-                    j += 1
-                t, begin = np.frombuffer(tokens, np.uint64), np.frombuffer(first, np.int64)
-                lengths = np.diff(np.append(begin, len(t)))
-                doc = np.repeat(np.arange(j - i), lengths)
-                types, inv = np.unique(t, return_inverse=True)
-                at = np.minimum(np.searchsorted(common, types), max(len(common) - 1, 0))
-                known = (common[at] == types) if len(common) else np.zeros(len(types), bool)
-                exact = np.where(known, common_c[at], 0) if len(common) else np.zeros(len(types), np.int64)
-                base = np.add.reduceat(np.where(known, np.log10(exact + 0.5), 0.0)[inv], begin)
-                n_known = np.add.reduceat(known.astype(np.int64)[inv], begin)
-                # what is not common is looked up by a join
-                rare = ~known[inv]
-                pair, times = np.unique(doc[rare].astype(np.uint64) << np.uint64(32) | inv[rare].astype(np.uint64), return_counts=True)
-                rare_h = _lists(pair >> np.uint64(32), j - i, pa.array(types[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)))
-                rare_n = _lists(pair >> np.uint64(32), j - i, pa.array(times.astype(np.int32)))
-                # the model's counts
-                uni = exact.astype(float)
-                uni[~known] = read(lookup, types[~known], uni_value)
-                pairs, inv2 = np.unique(bigrams_of(t, begin), return_inverse=True)
-                both = read(lookup, pairs, bi_value)[inv2]
-                context = np.empty(len(t))
-                context[1:] = uni[inv[:-1]]
-                context[begin] = n_texts
-                logs = np.log10((np.minimum(both, context) + prior * (uni[inv] + 0.5) / scale) / (context + prior))
-                open_ = np.isnan(logs)
-                logs = np.add.reduceat(np.where(open_, 0.0, logs), begin)
-                # once a document: terms of which a count is not known yet
-                pair, where, times = np.unique(doc[open_].astype(np.uint64) << np.uint64(32) | inv2[open_].astype(np.uint64), return_index=True, return_counts=True)
-                where = np.flatnonzero(open_)[where]
-                before = t[np.maximum(where - 1, 0)]  # a text's first token has a context that is known
-                terms = [pa.array(x.view(np.int64)) for x in (pairs[inv2[where]], t[where], before)]
-                terms += [pa.array(x, from_pandas=True) for x in (both[where], uni[inv[where]], context[where])]  # NaN: null
-                terms = pa.StructArray.from_arrays([*terms, pa.array(times.astype(np.int32))], names=["b", "w", "v", "cb", "cw", "cv", "times"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(logs), rare_h, rare_n, _lists(pair >> np.uint64(32), j - i, terms)],
-                    names=["k", "held_out", "n_tokens", "n_known", "base", "score", "rare_h", "rare_n", "open"],
-                )
-                i = j
-
-    open_type = "array<struct<b: bigint, w: bigint, v: bigint, cb: double, cw: double, cv: double, times: int>>"
-    scored = rows.select("k", "t", "held_out").mapInArrow(score, f"k {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<bigint>, rare_n array<int>, open {open_type}")
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
-    rest = merged.select("uni_h", "uni_c").mapInArrow(counts(False), "h long, c long").withColumnRenamed("h", "h2")
-    pairs = scored.select("row", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("x")).select("row", F.col("x.rare_h").alias("h"), F.col("x.rare_n").alias("times"))
-    c = F.coalesce("c", F.lit(0))
-    found = (
-        pairs.join(rest, F.col("h") == F.col("h2"), "left")
-        .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-        .withColumnRenamed("row", "row2")
-    )
-    done = scored.drop("rare_h", "rare_n", "open").join(found, F.col("row") == F.col("row2"), "left").drop("row2")
-    if not whole:
-        terms = scored.select("row", F.inline("open"))
-        values = probed(terms, parts(1, None), segments, highest)
-        late = resolve(terms, values, uni_value, bi_value, prior, scale).groupBy("row").agg(F.sum("term").alias("late")).withColumnRenamed("row", "row2")
-        done = done.join(late, F.col("row") == F.col("row2"), "left").withColumn("score", F.col("score") + F.coalesce("late", F.lit(0.0)))
-    return done.select(
-        F.col("k").alias(key),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * log_scale).alias("base_score"),
-        "score",
-    )
-
-
-def _lists(of: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
-    """Lists 0 .. n - 1 of values; of: each value's list, ascending."""
-    counts = np.bincount(of.astype(np.int64), minlength=n)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
-
-
-def probed(terms: DataFrame, filters: DataFrame, segments: int, highest: int) -> DataFrame:
-    """h and q, the level of each distinct n-gram that terms do not know yet, where the whole filter has it."""
-    asked = F.array_compact(F.array(*[F.when(F.col(f"c{x}").isNull(), F.col(x)) for x in ("b", "w", "v")]))
-    h = terms.select(F.explode(asked).alias("h")).distinct()
-    h = h.withColumn("segment", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(segments).cast("long"), 32).cast("int"))
-
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes, q = np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(left) and len(right):
-            data = np.frombuffer(right.column("bits")[0].as_py(), np.uint8)
-            hashes = left.column("h").to_numpy()
-            q = Filter(data, 1, 8 * len(data), highest).levels(hashes.view(np.uint64))
-        return pa.table({"h": pa.array(hashes[q > 0], pa.int64()), "q": pa.array(q[q > 0], pa.int64())})
-
-    return cut(h.groupBy("segment").cogroup(filters.groupBy("segment")).applyInArrow(probe, "h long, q long"))
-
-
-def resolve(terms: DataFrame, values: DataFrame, uni_value: np.ndarray, bi_value: np.ndarray, prior: float, scale: float) -> DataFrame:
-    """row and term: times log10 P(w | v) of each open term."""
-    for x, value in (("b", bi_value), ("w", uni_value), ("v", uni_value)):
-        known = values.select(F.col("h").alias("_h"), F.element_at(F.array(*[F.lit(float(y)) for y in value]), (F.col("q") + 1).cast("int")).alias("_c"))
-        # a term that knows this count is dealt out by its bigram
-        terms = terms.join(known, F.when(F.col(f"c{x}").isNull(), F.col(x)).otherwise(F.col("b")) == F.col("_h"), "left")
-        terms = terms.withColumn(f"c{x}", F.coalesce(f"c{x}", "_c", F.lit(0.0))).drop("_h", "_c")
-    p = (F.least("cb", "cv") + prior * (F.col("cw") + 0.5) / scale) / (F.col("cv") + prior)
-    return terms.select("row", (F.col("times") * F.log10(p)).alias("term"))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, texts in portions(batches, size):
+            whole = [pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table.column(x).combine_chunks()) for x in ("k", "held_out")]
+            sizes = pa.array([[len(b) for b in texts]], pa.list_(pa.int64()))
+            data = b"".join(texts)
+            packed = pa.array([pa.compress(data, "zstd", asbytes=True) if data else b""], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([table.column("row")[0].as_py()], pa.int64()), *whole, sizes, packed], names=["portion", "ks", "held", "sizes", "data"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            raise RuntimeError("the documents were not the same when they were read again")
+        ends = np.cumsum(left.column("sizes")[0].values.to_numpy()).tolist()
+        data = left.column("data")[0].as_py()
+        data = pa.decompress(data, ends[-1], "zstd", asbytes=True) if data else b""
+        t, begin = tokens_of([data[i:j] for i, j in zip([0, *ends], ends)])
+        del data
+        right = right.sort_by("segment")
+        exact, uni_q, bi_q = (np.concatenate([np.empty(0, np.int64), *[unpack(b).astype(np.int64) for b in right.column(x).to_pylist()]]) for x in ("uni_c", "uni_q", "bi_q"))
+        tokens, bigrams = asked(t, begin)
+        types, inv = np.unique(tokens, return_inverse=True)
+        pairs, inv2 = np.unique(bigrams, return_inverse=True)
+        if (len(types), len(types), len(pairs)) != (len(exact), len(uni_q), len(bi_q)):
+            raise RuntimeError("the documents were not the same when they were read again")
+        base = np.add.reduceat(np.log10(exact + 0.5)[inv], begin)
+        n_known = np.add.reduceat((exact > 0).astype(np.int64)[inv], begin)
+        # the model's counts
+        uni = np.where((exact > 0) & (_bin(exact) >= cutoff), exact, uni_value[uni_q])
+        both = bi_value[bi_q][inv2]
+        context = np.empty(len(t))
+        context[1:] = uni[inv[:-1]]
+        context[begin] = n_texts
+        logs = np.log10((np.minimum(both, context) + prior * (uni[inv] + 0.5) / scale) / (context + prior))
+        lengths = np.diff(np.append(begin, len(t)))
+        columns = [left.column("ks")[0].values, left.column("held")[0].values, pa.array(lengths), pa.array(n_known), pa.array(base - lengths * log_scale), pa.array(np.add.reduceat(logs, begin))]
+        return pa.table(columns, names=["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    texts = rows.mapInArrow(send, f"portion long, ks array<{kind}>, held array<boolean>, sizes array<bigint>, data binary")
+    back = answers.select("portion", "segment", "uni_c", "uni_q", "bi_q")
+    scored = texts.groupBy("portion").cogroup(back.groupBy("portion")).applyInArrow(score, f"k {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -116,3 +116,32 @@ def test_probabilities_sum_to_one(spark, tmp_path):
                 rest = math.log10(p(before, " ", len(training))) + math.log10(p("", w, uni[w]))
                 total += 10 ** (got[i] - rest)
         assert total == pytest.approx(1, abs=0.08), before
+
+
+def test_packed_numbers_come_back():
+    r = np.random.default_rng(5)
+    for x in ([], [0], [2**64 - 1], [0, 0, 7], [5, 5, 2**40], np.sort(r.integers(0, 2**64, 3000, np.uint64)), np.arange(300) % 3):
+        x = np.array(x, np.uint64)
+        assert lm.unpack(lm.pack(x)).tolist() == x.tolist()
+        x.sort()
+        assert lm.unpack_sorted(lm.pack_sorted(x), len(x)).tolist() == x.tolist()
+
+
+def test_portions_do_not_change_scores(docs, monkeypatch):
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 1 << 14)
+    whole = sorted(lm.score_texts(docs).collect())
+    monkeypatch.setattr(lm, "PORTION", 1000)
+    assert sorted(lm.score_texts(docs).collect()) == [(*x[:5], pytest.approx(x[5], rel=1e-12), pytest.approx(x[6], rel=1e-12)) for x in whole]
+
+
+def test_disk_stays_under_the_texts(spark, docs, corpus):
+    """What is checkpointed, when no part of the filter may be broadcast: it was several times the texts."""
+    from pathlib import Path
+
+    from lotwise.llm.common import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p for p in folder.rglob("*") if p.is_file()}
+    lm.score_texts(docs, max_bits=0).collect()
+    assert sum(p.stat().st_size for p in folder.rglob("*") if p.is_file() and p not in before) < sum(len((t or "").encode()) for _, t, _ in corpus)
