@@ -379,15 +379,16 @@ register(
 )
 register("holding_histogram", lambda s, d: pnl.holding_histogram(matching.fragments(LI(s, d))), f"{sql_fifo()} SELECT sell_day - buy_day AS span, count(*) AS fragments, CAST(sum(qty) AS BIGINT) AS matched_qty FROM f GROUP BY ALL")
 
-# a stream of the trades, in one batch after another, gives the fragments of the whole
+# a stream of the trades, in one batch after another, gives the fragments of the whole; the second batch goes on from the checkpoint
 def streamed(s: SparkSession, d: str, policy: MatchPolicy) -> DataFrame:
-    trades, path = LI(s, d), scratch(s, "stream")
-    for lo, hi in ((None, CUTOFFS[1]), (CUTOFFS[1], None)):
-        part = trades if lo is None else trades.where(F.col("day") > lo)
-        (part if hi is None else part.where(F.col("day") <= hi)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    source = s.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    run = lots.stream_fragments(source, policy).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    path = scratch(s, "stream")
+    LI(s, d).write.parquet(f"{path}/trades")  # ordered once for both parts
+    trades = s.read.parquet(f"{path}/trades")
+    for part in (F.col("day") <= CUTOFFS[1], F.col("day") > CUTOFFS[1]):
+        trades.where(part).write.mode("append").parquet(f"{path}/in")
+        source = s.readStream.schema(trades.schema).parquet(f"{path}/in")
+        run = lots.stream_fragments(source, policy).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
     return s.read.schema(FRAGMENTS).parquet(f"{path}/out")
 
 

@@ -231,3 +231,21 @@ def test_stream_equals_batch(spark, policy, tmp_path):
     q = stream.writeStream.format("memory").queryName(f"frags_{policy.value}").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table(f"frags_{policy.value}")) == rows(matching.fragments(t, policy))
+
+
+@pytest.mark.parametrize("policy", [MatchPolicy.FIFO])
+def test_stream_state_does_not_go_with_the_keys(spark, policy, tmp_path):
+    """Many keys share a state; each has its own lots and its own last seq."""
+    keys = 3000
+    first = frame(spark, {(i, i % 3): [(10, 100 + i, 1), (5, 90, 2)] for i in range(keys)})
+    late = spark.createDataFrame([(0, 0, 2, -9, 50, 3), (1, 1, 3, -12, 60, 3)], first.schema)  # key (0, 0) has seen seq 2
+    folder = str(tmp_path / "in")
+    out = []
+    for i, t in enumerate((first, late)):
+        t.coalesce(1).write.mode("append").parquet(folder)
+        stream = streaming.stream_fragments(spark.readStream.schema(first.schema).parquet(folder), policy)
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        out.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress))
+    assert max(out) <= 1024
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1, 1, 1, 3, 1, 3, 10, 101, 60), (1, 1, 2, 3, 2, 3, 2, 90, 60)]
