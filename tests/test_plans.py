@@ -233,7 +233,7 @@ def test_stream_equals_batch(spark, policy, tmp_path):
     assert rows(spark.table(f"frags_{policy.value}")) == rows(matching.fragments(t, policy))
 
 
-@pytest.mark.parametrize("policy", [MatchPolicy.FIFO])
+@pytest.mark.parametrize("policy", [MatchPolicy.FIFO, MatchPolicy.HIFO])
 def test_stream_state_does_not_go_with_the_keys(spark, policy, tmp_path):
     """Many keys share a state; each has its own lots and its own last seq."""
     keys = 3000
