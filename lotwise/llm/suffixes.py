@@ -222,7 +222,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     base = number_rows(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")))
-    texts = base.select("row", "t")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "mh", "ch", "place"]
@@ -240,7 +239,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 yield pa.RecordBatch.from_arrays([numbers.slice(i, j - i), *columns], names=names)
                 i = j
 
-    per_text = cut(texts.mapInArrow(find, "row long, mh array<bigint>, ch array<bigint>, place array<bigint>"))
+    per_text = cut(base.select("row", "t").mapInArrow(find, "row long, mh array<bigint>, ch array<bigint>, place array<bigint>"))
     each = per_text.select("row", F.explode(F.arrays_zip("mh", "ch", "place")).alias("a")).select("row", "a.mh", "a.ch", "a.place")
     # cut, so that the join's sides are plain exchanges, whose hot partitions Spark can split
     grams = cut(each.groupBy("mh").agg(F.count("*").alias("n"), F.min("ch").alias("c1"), F.max("ch").alias("c2")).where("n > 1"))
@@ -252,7 +251,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     asked = contexts.join(crowds, F.col("mh") == F.col("mh2"), "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))).drop("mh2")
     groups = max(1, contexts.count() // GROUP)
     wanted = asked.groupBy("row").agg(F.collect_list(F.struct("mh", "n", "place", "crowded")).alias("asked"))  # at most a text's own anchors
-    fetched = _by_text(texts, wanted, "inner")
+    fetched = _by_text(base, wanted, "inner")  # with the keys, so that the last join's exchange of the texts is the same and is made once
 
     def fetch(crowded: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -243,6 +243,14 @@ def test_suffixes(docs, corpus, length, hot):
     assert got == {i: w for (i, _, _), w in zip(corpus, want, strict=True)}
 
 
+def test_texts_are_dealt_out_once(spark, docs):
+    """Fetching contexts and removing spans read one exchange of the texts."""
+    out = suffixes.remove_repeats(docs)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+
+
 def test_cover_and_strides(monkeypatch):
     assert {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.PERIOD))
     r = random.Random(5)
