@@ -33,6 +33,13 @@ def _column(values: list | tuple) -> np.ndarray:
     return np.array(values) if len(values) else np.empty(0, np.int64)
 
 
+def _values(name: str, column: np.ndarray) -> list:
+    """Numbers; keys that are missing as None, so that they are one key."""
+    if name in KEY and column.dtype.kind == "f":
+        return [None if x != x else int(x) for x in column.tolist()]
+    return column.tolist()
+
+
 def _pack(rows: list[tuple]) -> bytes:
     """Rows of TRADE as compressed Arrow."""
     columns = [pa.array(_column(c), from_pandas=True).cast(pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * len(TRADE))]
@@ -44,7 +51,7 @@ def _pack(rows: list[tuple]) -> bytes:
 
 def _unpack(data: bytes) -> list[tuple]:
     table = pa.ipc.open_stream(data).read_all()
-    return list(zip(*[table.column(c).to_numpy().tolist() for c in TRADE], strict=True))
+    return list(zip(*[_values(c, table.column(c).to_numpy()) for c in TRADE], strict=True))
 
 
 def stream_fragments(trades: DataFrame, policy: MatchPolicy = MatchPolicy.FIFO, buckets: int = BUCKETS) -> DataFrame:
@@ -73,7 +80,7 @@ def stream_fragments(trades: DataFrame, policy: MatchPolicy = MatchPolicy.FIFO,
             if now is not None:
                 last[now], kept[now] = seen, book.left()
 
-        for c, s, seq, qty, price, day in zip(*[pdf[n].to_numpy()[order].tolist() for n in TRADE], strict=True):
+        for c, s, seq, qty, price, day in zip(*[_values(n, pdf[n].to_numpy()[order]) for n in TRADE], strict=True):
             if (c, s) != now:
                 close()
                 now, book = (c, s), Lots(policy)

@@ -249,3 +249,17 @@ def test_stream_state_does_not_go_with_the_keys(spark, policy, tmp_path):
         out.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress))
     assert max(out) <= 1024
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1, 1, 1, 3, 1, 3, 10, 101, 60), (1, 1, 2, 3, 2, 3, 2, 90, 60)]
+
+
+def test_stream_keeps_missing_keys_together(spark, tmp_path):
+    days = [[(None, 5, 1, 10, 100, 1), (None, 6, 1, 3, 100, 1), (7, 5, 1, 4, 90, 1)], [(None, 5, 2, -6, 120, 2), (7, 5, 2, -9, 95, 2)], [(None, 5, 3, -6, 130, 3)]]
+    t = spark.createDataFrame([r for d in days for r in d], "client_id long, symbol_id long, seq long, signed_qty long, price_ticks long, day int")
+    folder = str(tmp_path / "in")
+    for d in (1, 2, 3):
+        t.where(F.col("day") == d).coalesce(1).write.mode("append").parquet(folder)
+    stream = streaming.stream_fragments(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(folder), buckets=1)
+    q = stream.writeStream.format("memory").queryName("missing_keys").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {tuple(r) for r in spark.table("missing_keys").collect()}
+    assert got == {(None, 5, 1, 2, 1, 2, 6, 100, 120), (None, 5, 1, 3, 1, 3, 4, 100, 130), (7, 5, 1, 2, 1, 2, 4, 90, 95)}
+    assert got == {tuple(r) for r in matching.fragments(t).collect()}
